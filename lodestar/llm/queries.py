@@ -18,6 +18,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+
+    return ngram_join.classes(_table(spark, sf_dir, "documents"), k=4, num=85)
+
+
 def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import binfmt
 
@@ -26,6 +32,6 @@ def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op10_token_id_files)
+    for f in (op1_best_fit_packing, op7_ngram_jaccard_join, op10_token_id_files)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -18,12 +18,38 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.read(warc.write(_table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ngram_join
 
     return ngram_join.classes(_table(spark, sf_dir, "documents"), k=4, num=85)
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secret_scan
+
+    return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import urls
+
+    pages = _table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.mine(pages, _table(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import binfmt
 
@@ -32,6 +58,6 @@ def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op7_ngram_jaccard_join, op10_token_id_files)
+    for f in (op1_best_fit_packing, op3_benchmark_decontamination, op6_warc, op7_ngram_jaccard_join, op8_secret_scans, op9_url_filters, op10_token_id_files)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -52,8 +52,9 @@ def file_system(url: str) -> tuple[pafs.FileSystem, str]:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of df; it only sizes partitions, never results."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's size estimate of df, 0 where it has none; it only sizes partitions, never results."""
+    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return n if n < 1 << 58 else 0
 
 
 # --------------------------------------------------------------------------- word scanning

@@ -160,7 +160,7 @@ def _deal(k: int, ranges: int):
     return run
 
 
-def _count(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _count(key, rows):
     """A hash range: shingles that two texts hold go back to their chunks, with their frequency."""
     heads, blocks = rows[rows.n < 0], rows[rows.n > 0]
     found = []
@@ -190,7 +190,7 @@ def _count(key, rows: pd.DataFrame) -> pd.DataFrame:
 def _regroup(num: int, den: int):
     """A chunk: per text its id, n and fingerprint, and its shared shingles if they may be enough for a link."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows):
         head = rows[rows.n < 0].iloc[0]
         m = -int(head.n)
         buf = np.frombuffer(head.a, np.uint8)
@@ -286,7 +286,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _verify(num: int, den: int):
     """A pair of blocks: texts and the smallest text that they are connected to within it."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows):
         rows = rows.sort_values("id", ignore_index=True)
         sets = [np.frombuffer(t, U64) for t in rows.t]
         size = np.array(list(map(len, sets)))
@@ -316,7 +316,7 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, frequent
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links of similarity >= num/den >= 0.8)."""
     if not 80 * den <= 100 * num <= 100 * den:
         raise ValueError("similarities from 0.8 to 1")
-    ranges = max(256, common.input_bytes(docs) >> 22)
+    ranges = min(max(256, common.input_bytes(docs) >> 22), 1 << 16)
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     moved = texts.mapInArrow(_deal(k, ranges), MOVED)
     counted = moved.groupBy("r").applyInPandas(_count, MOVED)

@@ -18,6 +18,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import vectors
+
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
@@ -25,6 +31,13 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
 
@@ -58,6 +71,6 @@ def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op3_benchmark_decontamination, op6_warc, op7_ngram_jaccard_join, op8_secret_scans, op9_url_filters, op10_token_id_files)
+    for f in (op1_best_fit_packing, op2_embedding_near_duplicates, op3_benchmark_decontamination, op4_quality_classifier, op6_warc, op7_ngram_jaccard_join, op8_secret_scans, op9_url_filters, op10_token_id_files)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -38,6 +38,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
 
@@ -71,6 +77,6 @@ def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_embedding_near_duplicates, op3_benchmark_decontamination, op4_quality_classifier, op6_warc, op7_ngram_jaccard_join, op8_secret_scans, op9_url_filters, op10_token_id_files)
+    for f in (op1_best_fit_packing, op2_embedding_near_duplicates, op3_benchmark_decontamination, op4_quality_classifier, op5_lm_scoring, op6_warc, op7_ngram_jaccard_join, op8_secret_scans, op9_url_filters, op10_token_id_files)
 }
 ORACLE_SQL: dict[str, str] = {}

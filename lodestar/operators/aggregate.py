@@ -6,13 +6,11 @@ not a sum over its children where keys have several values. Grouping paths that
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, times
-from ..plans.ast import And, Binary, Group, Metric, Number, Step
+from ..plans.ast import And, Binary, Group, Metric, Number
 from ..plans.parser import DATE_PARTS, DQLError
 from ..plans.schema import Field, Table
 
@@ -73,7 +71,7 @@ class Aggregates:
         if g.func in ("UPPER", "LOWER"):
             return (F.upper if g.func == "UPPER" else F.lower)(c)
         if len(steps) > 1 and steps[1].name in DATE_PARTS:
-            return F.expr("1") if False else {"YEAR": F.year, "MONTH": F.month, "DAY": F.dayofmonth, "HOUR": F.hour, "MINUTE": F.minute, "SECOND": F.second}[steps[1].name](c)
+            return {"YEAR": F.year, "MONTH": F.month, "DAY": F.dayofmonth, "HOUR": F.hour, "MINUTE": F.minute, "SECOND": F.second}[steps[1].name](c)
         if f.type == "TIMESTAMP":
             return F.date_trunc("SECOND", c)
         return c
@@ -206,7 +204,7 @@ class Aggregates:
             if F.count_distinct in how.values():
                 c = next(iter(how))
                 per = keys.join(rows, "_ID").groupBy(*on).agg(F.count_distinct(c).alias(c))
-                out = out.join(per.select(*(F.col(o).alias("r_" + o) for o in on), c), [F.col(o).eqNullSafe(F.col("r_" + o)) for o in on], "left") if on else out.crossJoin(per)
+                out = out.join(per.select(*(F.col(o).alias("r_" + o) for o in on), c), [F.col(o).eqNullSafe(F.col("r_" + o)) for o in on], "left").drop(*("r_" + o for o in on)) if on else out.crossJoin(per)
         out = out.select(*names, *on, *(c.alias(n) for c, n in finals))
         metric = finals[0][1] if finals else None
         for i, (n, g) in enumerate(zip(names, groups[-len(names) :] if names else [], strict=True)):
@@ -272,10 +270,3 @@ class Aggregates:
         zero = [F.coalesce(c, F.lit(0)).alias(c) if t in ("bigint", "int") else F.col(f"`{c}`") for c, t in joined.dtypes if c != "k"]
         nulls = out.where(F.col(name).isNull())
         return joined.select(F.col("k").alias(name), *zero).unionByName(nulls)
-
-
-def strip(name: str) -> str:
-    return re.sub(r"\W+", "_", name).strip("_")
-
-
-__all__ = ["Aggregates", "batch_labels", "strip", "truncated", "Step"]

@@ -18,7 +18,6 @@ import hashlib
 import uuid
 import zlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,6 +28,8 @@ from . import common
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of an archive, about, and of a range.
 ARCHIVE, SPLIT = 1 << 30, 32 << 20
+#: Bytes read at once.
+READ = 1 << 20
 _HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -108,12 +109,11 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0, id_col: s
 
 def range_records(file, start: int, stop: int, size: int):
     """Records that start in [start, stop) of a seekable file."""
-    step = 1 << 20
     at, base, buf = start, start, b""
     while at < stop:
         if at < base or at >= base + len(buf) - len(MAGIC):
             file.seek(at)
-            base, buf = at, file.read(min(step + len(MAGIC), size - at))
+            base, buf = at, file.read(min(READ + len(MAGIC), size - at))
             if len(buf) < len(MAGIC):
                 return
         i = buf.find(MAGIC, at - base)
@@ -133,22 +133,29 @@ def range_records(file, start: int, stop: int, size: int):
 
 def _member(file, here: int, have: bytes, size: int):
     """The gzip member that starts at a place and the place after it, or None if there is no WARC record."""
-    d = zlib.decompressobj(31)
+    d, out, head = zlib.decompressobj(31), [], b""
+    at, data = here + len(have), have
     try:
-        out = [d.decompress(have, 64)]
-        if not out[0].startswith(b"WARC/"):
-            return None
-        out.append(d.decompress(d.unconsumed_tail))
-        at = here + len(have)
         while not d.eof:
-            file.seek(at)
-            more = file.read(1 << 20)
-            if not more:
-                return None
-            at += len(more)
-            out.append(d.decompress(more))
+            if not data:  # the member goes on past what has been read
+                file.seek(at)
+                data = file.read(READ)
+                if not data:
+                    return None
+                at += len(data)
+            if len(head) < 5:
+                part = d.decompress(data, 5 - len(head))
+                head += part
+                if not b"WARC/".startswith(head):
+                    return None
+                data = d.unconsumed_tail
+            else:
+                part, data = d.decompress(data), b""
+            out.append(part)
     except zlib.error:
         return None
+    if head != b"WARC/":
+        return None
     return b"".join(out), at - len(d.unused_data)
 
 

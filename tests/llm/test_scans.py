@@ -153,6 +153,19 @@ def test_secrets(spark):
 # ---------------------------------------------------------------------------- WARC
 
 
+@pytest.mark.parametrize("read", [1, 2, 7, 64, 1000])
+def test_records_across_reads(monkeypatch, read):
+    """Records whose first bytes lie at the end of what a task has read are found, by any ranges."""
+    import io
+
+    monkeypatch.setattr(warc, "READ", read)
+    raw = [warc.record(i, "u", f"text {i} ".encode() * i, warc.digest32(hashlib.sha1(f"text {i} ".encode() * i).digest()), None) for i in range(12)]
+    data = b"".join(raw)
+    for split in (13, 100, len(data)):
+        got = [r["page_id"] for s in range(0, len(data), split) for r in warc.range_records(io.BytesIO(data), s, min(s + split, len(data)), len(data))]
+        assert got == list(range(12))
+
+
 def test_warc(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE", 20_000)
     rows = [(r["page_id"], r["url"], r["html"], 1) for r in pq.read_table(f"{cases.SF}/pages.parquet").to_pylist()]

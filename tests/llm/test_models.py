@@ -127,3 +127,19 @@ def test_scores(spark, monkeypatch):
         assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-6 * abs(b[5])
     assert all(r["score"] < 0 for r in got)
     assert lm.score(docs.limit(0)).count() == 0
+
+
+def test_pairs_of_the_corpus(spark):
+    docs, data = cases.documents(spark)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    enc = lm.tokens.encoder().library
+    end = enc.get_vocab_size()
+    texts = [np.array([*enc.encode(d[1] or "", add_special_tokens=False).ids, end]) for d in data if not held(d[0])]
+    here, there = lm.Pairs(texts, end), lm.CorpusPairs(docs, "doc_id", "text", None)
+    all_ids, few = np.arange(end + 1), np.arange(end + 1) % 7
+    for args in ((0 * all_ids, all_ids, end + 1), (few, all_ids, end + 1), (all_ids, few, 7)):
+        for a, b in zip(here.sums(*args), there.sums(*args), strict=True):
+            assert np.array_equal(a, b)
+    fitted = lm.train(docs)
+    assert lm.train(docs.limit(0)).params is None
+    assert np.allclose(np.bincount(fitted.cls, minlength=lm.CLASSES).sum(), end + 1)

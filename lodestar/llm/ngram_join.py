@@ -133,6 +133,7 @@ def _fingerprints(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _deal(k: int, ranges: int):
     def run(batches):
+        common.release()
         chunk, serial, task = _Chunk(), 0, TaskContext.get().partitionId()
 
         def out():
@@ -156,6 +157,7 @@ def _deal(k: int, ranges: int):
                 chunk.bytes += len(data)
         if chunk.ids:
             yield from out()
+        common.release()
 
     return run
 

@@ -254,5 +254,6 @@ def good(docs: DataFrame, model: Field | Constant, text_col: str = "text", least
         for batch in batches:
             out = [model.score(data, bounds) for _, _, data, bounds in common.pieces(common.text_column(batch, text_col))]
             yield batch.filter(pa.array(np.concatenate(out) >= least if out else np.zeros(0, bool)))
+        common.release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -106,12 +106,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], without regard to ASCII case."""
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=total[1:])
-    h = (total[ends] - total[starts]) * _powers(_INV, len(data) + 1)[starts]
-    return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, strip: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of data[start:end], without regard to ASCII case; the segments in order and apart.
+
+    Works on strips of about `strip` bytes (one segment at least), so that a very long text takes little more memory than itself.
+    """
+    out, i = np.zeros(len(starts), U64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + strip, "right")))
+        s, e = starts[i:j] - starts[i], ends[i:j] - starts[i]
+        part = _BYTE[data[starts[i] : ends[j - 1]]]
+        total = np.zeros(len(part) + 1, U64)
+        np.cumsum(part * _powers(_BASE, len(part)), out=total[1:])
+        out[i:j] = mix((total[e] - total[s]) * _powers(_INV, len(part) + 1)[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
+        i = j
+    return out
 
 
 def words_of(data: np.ndarray, bounds: np.ndarray, stop: np.ndarray = SPACE):

@@ -31,7 +31,7 @@ from . import common
 from .common import U64
 
 #: Words, bytes of text and texts at most in a chunk (a longer text is a chunk of its own).
-CHUNK_BYTES, CHUNK_TEXTS = 24 << 20, 60_000
+CHUNK_BYTES, CHUNK_TEXTS = 12 << 20, 60_000
 #: Texts of a chunk that hold a shingle from which on it travels once.
 HOT = 64
 #: Texts in a block at most, about.

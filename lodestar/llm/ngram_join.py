@@ -10,9 +10,10 @@
    dealt by hash into classes, of which pairs are indexed. The prefix is extended until the sum of (count - k + 1) over the
    classes, k = 1 or 2, is over tau: then some class keeps k common shingles. The number of classes hangs on the band
    of n, and a text indexes for two bands, so that linked texts share one. Texts with over tau unshared shingles index nothing.
-5. Texts that share an index entry get connected (to the entry's smallest id, never pair by pair). Within each such group texts
-   are dealt by hash into blocks, and each pair of blocks computes exact intersections and gives its own connections.
-6. Connected components over these links and the equal sets are the classes.
+5. Texts that share an index entry get connected (to the entry's smallest id, never pair by pair) into candidate groups. Each
+   text is first compared exactly with the smallest of its entries' heads. Texts that this already connects need no more
+   comparisons with each other: only blocks of about BLOCK texts of different classes of a group compute exact intersections.
+6. Connected components over all these links and the equal sets are the classes.
 
 Null ids link with nothing and keep a null class; null and empty texts have an empty set and link with nothing; texts under k words
 are one shingle; rows that repeat an id count as one text each, and share the id's class; other columns are ignored.
@@ -314,6 +315,61 @@ def _verify(num: int, den: int):
     return run
 
 
+def _to_head(num: int, den: int):
+    """The rows (id, n, t) and (h_id, h_n, h_t) that link, as a and b."""
+
+    def run(frames):
+        for f in frames:
+            a, b, last, head = [], [], None, None
+            for i, n, t, h, m, u in zip(f.id, f.n, f.t, f.h_id, f.h_n, f.h_t, strict=True):
+                if h != last:
+                    last, head = h, np.sort(np.frombuffer(u, U64))
+                mine = np.frombuffer(t, U64)
+                at = np.minimum(np.searchsorted(head, mine), max(len(head) - 1, 0))
+                both = int((head[at] == mine).sum()) if len(head) else 0
+                if den * both >= num * (n + m - both):
+                    a.append(i)
+                    b.append(h)
+            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return run
+
+
+def _linked_to_heads(kept: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) of texts to the smallest head of their index entries: one comparison a text, however large the group."""
+    one = near.groupBy("a").agg(F.min("b").alias("b"))
+    mine = kept.select("id", "n", "t").join(one, F.col("id") == F.col("a")).select("id", "n", "t", "b")
+    heads = kept.select(F.col("id").alias("h_id"), F.col("n").alias("h_n"), F.col("t").alias("h_t"))
+    return mine.join(heads, F.col("b") == F.col("h_id")).drop("b").mapInPandas(_to_head(num, den), "a long, b long")
+
+
+def _across(kept: DataFrame, groups: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between texts of a candidate group that no known class (node, component) connects yet.
+
+    A class of BLOCK texts or more fills blocks of its own, smaller ones share blocks. A pair of blocks is compared unless
+    both hold the same class; groups of one class need nothing. So many copies near one text cost no comparisons here.
+    """
+    known = known.select(F.col("node").alias("k_id"), F.col("component").alias("k_c"))
+    mine = groups.join(known, F.col("node") == F.col("k_id"), "left").select("node", F.col("component").alias("g"), F.coalesce("k_c", "node").alias("c"))
+    per = mine.groupBy("g", "c").agg(F.count("*").alias("m"))
+    small = F.col("m") < BLOCK
+    whole = per.groupBy(F.col("g").alias("w_g")).agg(F.count("*").alias("classes"), F.sum(F.when(small, F.col("m")).otherwise(0)).alias("rest")).where("classes > 1")
+    per = per.join(whole, F.col("g") == F.col("w_g")).select(F.col("g").alias("p_g"), F.col("c").alias("p_c"), "m", "rest")
+    deal = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(n / BLOCK))
+    dealt = mine.join(per, (F.col("g") == F.col("p_g")) & (F.col("c") == F.col("p_c"))).select(
+        "node",
+        "g",
+        F.when(small, F.xxhash64(F.lit("shared"), F.pmod(F.xxhash64("c", F.lit(7)), F.ceil(F.col("rest") / BLOCK)))).otherwise(F.xxhash64("c", deal(F.col("m")))).alias("own"),
+        F.when(~small, F.col("c")).alias("pure"),
+    )
+    dealt = common.stored(dealt, "blocks")
+    blocks = dealt.select(F.col("g").alias("b_g"), F.col("own").alias("other"), F.col("pure").alias("b_pure")).distinct()
+    pairs = dealt.join(blocks, (F.col("g") == F.col("b_g")) & ~F.coalesce(F.col("pure") == F.col("b_pure"), F.lit(False)))
+    pairs = pairs.select(F.col("node").alias("p_id"), "g", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    texts = pairs.join(kept.select("id", "n", "t"), F.col("p_id") == F.col("id")).select("g", "x", "y", "id", "n", "t")
+    return texts.groupBy("g", "x", "y").applyInPandas(_verify(num, den), "a long, b long")
+
+
 def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, frequent: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links of similarity >= num/den >= 0.8)."""
     if not 80 * den <= 100 * num <= 100 * den:
@@ -336,11 +392,8 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, frequent
     heads = entries.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("m")).where("m > 1").select("key", "head")
     near = entries.join(heads, "key").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     groups = common.stored(common.components(near), "groups")
-    size = groups.groupBy("component").count().select(F.col("component").alias("g"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = groups.join(size, F.col("component") == F.col("g")).select("node", "g", "blocks")
-    mine = kept.select("id", "n", "t").join(dealt, F.col("id") == F.col("node")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
-    pairs = mine.select("g", "own", "id", "n", "t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("g", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "n", "t")
-    links = pairs.groupBy("g", "x", "y").applyInPandas(_verify(num, den), "a long, b long")
+    by_head = common.stored(_linked_to_heads(kept, near, num, den), "head-links")
+    links = _across(kept, groups, common.components(by_head), num, den).union(by_head)
     found = common.stored(common.components(links.union(copies)), "classes")
     out = sets.select("id", "n").join(found, F.col("id") == F.col("node"), "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import sys
 import zlib
@@ -106,6 +107,29 @@ def test_classes(spark, monkeypatch, k, num, frequent, hot):
     assert all(r["component_id"] is None for r in got if r["doc_id"] is None)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_classes_of_families(spark, monkeypatch, seed):
+    """Families near each other, of which some texts link two: classes that fill blocks, that share them, and that meet."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 6)
+    r = random.Random(seed)
+    base = [f"w{r.randrange(900)}" for _ in range(240)]
+
+    def changed(words, n, tag):
+        words = list(words)
+        at = r.randrange(len(words) - n)
+        words[at : at + n] = [f"{tag}{x}" for x in range(n)]
+        return words
+
+    rows = []
+    for f in range(7):
+        family = changed(base, r.choice([18, 24, 30]), f"f{f}_")
+        rows += [" ".join(changed(family, r.randrange(0, 8), f"m{f}_{m}_")) for m in range(r.choice([1, 4, 25]))]
+    r.shuffle(rows)
+    docs, data = cases.documents(spark, rows)
+    got = ngram_join.classes(docs, 4, 85, frequent=4).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got if x["doc_id"] is not None} == brute_classes(data, 4, 85)
+
+
 def test_deduplicated(spark):
     docs, data = cases.documents(spark)
     want = brute_classes(data, 5, 80)

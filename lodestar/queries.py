@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import star
+from .plans.schema import Field
 from .sources import logs, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +148,40 @@ _add("u01_shard_union", lambda e: shards.latest(_yearly(e).groupBy("_shard", "_I
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a nation over a price: their top priorities by number, with mean prices."""
     return star.engine(spark, sf_dir).aggregate("Order", "Customer.Nation.n_name=NATION_3 AND o_totalprice>100000", "TOP(5,o_orderpriority) AS priority", "COUNT(*) AS n,AVERAGE(o_totalprice) AS mean")
+
+
+def _with_statuses(e):
+    """Customers with a multi-valued field: the statuses of their orders."""
+    per = e.tables["Order"].groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("statuses"))
+    e.tables["Customer"] = e.tables["Customer"].join(per, F.col("c_custkey") == F.col("o_custkey"), "left").drop("o_custkey")
+    e.app.tables["Customer"].fields["statuses"] = Field("statuses", "TEXT", True)
+    return e
+
+
+def _customers(name: str, q: str, where: str) -> None:
+    _add(name, lambda e: _with_statuses(e).select("Customer", q).select("_ID"), f'SELECT CAST(c_custkey AS VARCHAR) AS "_ID" FROM customer c WHERE {where}')
+
+
+_HAS = "EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey{})"
+_customers("p17_any_value", "ANY(statuses)=p", _HAS.format(" AND o_orderstatus = 'P'"))
+_customers("p17_all_values", "ALL(statuses)=F", _HAS.format("") + " AND NOT " + _HAS.format(" AND o_orderstatus <> 'F'"))
+_customers("p17_no_value", "NONE(statuses)=P", "NOT " + _HAS.format(" AND o_orderstatus = 'P'"))
+_customers("p11_no_values", "statuses IS NULL", "NOT " + _HAS.format(""))
+_customers("p26_many_values", "COUNT(statuses)>=2", "(SELECT count(DISTINCT o_orderstatus) FROM orders o WHERE o.o_custkey = c.c_custkey) >= 2")
+_add("g04_many_values", lambda e: _with_statuses(e).aggregate("Customer", "*", "statuses AS status", "COUNT(*) AS n"), "SELECT s AS status, count(*) AS n FROM (SELECT DISTINCT c_custkey, o_orderstatus AS s FROM customer LEFT JOIN orders ON o_custkey = c_custkey) GROUP BY 1")
+
+
+def _with_group(e):
+    """Orders with a group field and an alias."""
+    e.app.tables["Order"].fields["Marks"] = Field("Marks", "GROUP", members=["o_orderstatus", "o_orderpriority"])
+    e.app.tables["Order"].aliases["$dear"] = "o_totalprice>300000"
+    return e
+
+
+_add("p32_group_field", lambda e: _with_group(e).select("Order", "Marks:urgent").select("_ID"), _IDS + "o_orderpriority = '1-URGENT'")
+_add("p33_alias", lambda e: _with_group(e).select("Order", "$dear AND o_orderstatus=F").select("_ID"), _IDS + "o_totalprice > 300000 AND o_orderstatus = 'F'")
+_TURN = "SELECT 1 FROM conversations x WHERE x.conv_id = t.conv_id AND x.turn = t.turn {} AND x.role = '{}'"
+_either = lambda a, b: f"EXISTS ({_TURN.format('- 1', a)}) AND EXISTS ({_TURN.format('+ 1', b)})"
+_add("p34_pair", lambda e: e.pair("Turn", "_pair.first.role=user AND _pair.second.role=assistant", ("Before", "After")).select("_ID"), f"SELECT DISTINCT concat(conv_id, '-', turn) AS \"_ID\" FROM conversations t WHERE ({_either('user', 'assistant')}) OR ({_either('assistant', 'user')})")
+_STATS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+_add("src06_statistics", lambda e: shards.field_statistics(e.tables["Order"].select("_ID", *_STATS)), " UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) AS objects, count({c}) AS values, CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS greatest FROM orders" for c in _STATS))

@@ -61,6 +61,23 @@ def shard_stats(snapshot: DataFrame) -> DataFrame:
     return snapshot.groupBy("_shard").agg(F.count(F.lit(1)).alias("objects"))
 
 
+def field_statistics(snapshot: DataFrame) -> DataFrame:
+    """Per field: objects that have it, its values (of multi-valued fields each one), and the least and greatest as text.
+
+    One pass with map-side partial aggregates; the rows of the result are as many as the fields.
+    """
+    cells = []
+    for c, t in snapshot.dtypes:
+        if c in META:
+            continue
+        many = t.startswith("array")
+        some = F.size(c) if many else F.lit(1)
+        low, high = (F.array_min(c), F.array_max(c)) if many else (F.col(c), F.col(c))
+        cells.append((c, F.sum(F.when(F.col(c).isNotNull() & (some > 0), 1).otherwise(0)), F.sum(F.when(F.col(c).isNotNull(), some).otherwise(0)), F.min(low), F.max(high)))
+    rows = [F.struct(F.lit(c).alias("field"), F.coalesce(n, F.lit(0)).cast("long").alias("objects"), F.coalesce(v, F.lit(0)).cast("long").alias("values"), lo.cast("string").alias("least"), hi.cast("string").alias("greatest")) for c, n, v, lo, hi in cells]
+    return snapshot.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+
+
 def dangling(edges: DataFrame, objects: DataFrame) -> DataFrame:
     """Edges to objects that don't exist."""
     return edges.join(objects.select(F.col("_ID").alias("dst")), "dst", "left_anti")
@@ -101,6 +118,13 @@ class ShardStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.orders = [0, 0]  # the lowest and highest place given out
+        if self._exists("batches"):
+            low, high = self.batches().agg(F.min("_order"), F.max("_order")).first()
+            self.orders = [min(0, low or 0), max(0, high or 0)]
+
+    def _exists(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def add(self, docs: DataFrame, shard: str, overwrite: bool = True) -> None:
         if overwrite:
@@ -112,6 +136,14 @@ class ShardStore:
     def delete(self, ids: DataFrame, shard: str) -> None:
         self.add(ids.select("_ID").withColumn("_deleted", F.lit(True)), shard)
 
+    def drop(self, shard: str) -> None:
+        """Forget a shard: its folder of batches goes, snapshots written from now on lack it."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batches/_shard={shard}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def shards(self) -> DataFrame:
+        return self.batches().select("_shard").distinct()
+
     def batches(self) -> DataFrame:
         return self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/batches").withColumn("_shard", F.col("_shard").cast("string"))
 
@@ -122,10 +154,32 @@ class ShardStore:
         return self.spark.read.parquet(out).withColumn("_shard", F.col("_shard").cast("string"))
 
 
+#: Stands between the values of a multi-valued field in a CSV cell.
+CSV_VALUES = "\ufffe"
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=schema, inferSchema=schema is None)
+    """A CSV folder with a header; schema: DDL in which a multi-valued field is an array."""
+    if schema is None:
+        return spark.read.csv(path, header=True, inferSchema=True)
+    from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+    want = StructType.fromDDL(schema)
+    flat = StructType([StructField(f.name, StringType() if isinstance(f.dataType, ArrayType) else f.dataType) for f in want])
+    df = spark.read.csv(path, header=True, schema=flat)
+    return df.select(*(F.split(f.name, CSV_VALUES).cast(f.dataType).alias(f.name) if isinstance(f.dataType, ArrayType) else F.col(f"`{f.name}`") for f in want))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    flat = [F.array_join(c, "\ufffe").alias(c) if t.startswith("array") else F.col(f"`{c}`") for c, t in df.dtypes]
+    flat = [F.array_join(c, CSV_VALUES).alias(c) if t.startswith("array") else F.col(f"`{c}`") for c, t in df.dtypes]
     df.select(*flat).write.mode("overwrite").csv(path, header=True)
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """Rows as JSON documents (column value); absent values are left out."""
+    return df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("value"))
+
+
+def as_xml(df: DataFrame, tag: str = "doc") -> DataFrame:
+    """Rows as XML elements (column value); absent values are left out."""
+    return df.select(F.to_xml(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"rowTag": tag, "attributePrefix": "@"}).alias("value"))

@@ -119,7 +119,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 600) ->
     counts = {x: n for x, n in counts.items() if n and x < capacity}
     lp = sorted(solve_lp(counts, capacity, rounds), key=lambda c: -sum(x * n for x, n in c[0].items()))
     best, fewest = [], None
-    for scale in (1.0, 0.9, 0.7, 0.4):
+    for scale in (1.0, 0.9, 0.7, 0.4, 0.2, 0.1, 0.05):
         left, got = dict(counts), []
         for config, x in lp:
             n = min([int(x * scale), *(left[k] // m for k, m in config.items())])

@@ -143,3 +143,22 @@ def test_pairs_of_the_corpus(spark):
     fitted = lm.train(docs)
     assert lm.train(docs.limit(0)).params is None
     assert np.allclose(np.bincount(fitted.cls, minlength=lm.CLASSES).sum(), end + 1)
+
+
+def test_windows_of_the_corpus(spark):
+    docs, data = cases.documents(spark)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    enc = lm.tokens.encoder().library
+    end = enc.get_vocab_size()
+    texts = [[*enc.encode(d[1] or "", add_special_tokens=False).ids, end] for d in data if not held(d[0])]
+    want = Counter((end if a == 0 else t[a - 1], *t[a : a + lm.WINDOW]) for t in texts for a in range(0, len(t), lm.WINDOW))
+    every = [tuple(x for x in w.tolist() if x >= 0) for w in lm.CorpusPairs(docs, "doc_id", "text", None, 1.0).drawn()]
+    assert Counter(every) == want  # texts of any length
+    some = lm.CorpusPairs(docs, "doc_id", "text", None, 0.25).windows.count()
+    assert 0.2 * len(every) < some < 0.3 * len(every)
+
+
+def test_long_texts_train(spark):
+    long = "one two three four " * 4000
+    docs = spark.createDataFrame([(i, long) for i in range(1, 4)], "doc_id long, text string")
+    assert lm.train(docs).params is not None

@@ -162,3 +162,17 @@ def test_long_texts_train(spark):
     long = "one two three four " * 4000
     docs = spark.createDataFrame([(i, long) for i in range(1, 4)], "doc_id long, text string")
     assert lm.train(docs).params is not None
+
+
+def test_windows_overlap_by_half(model):
+    m, _ = model
+    assert lm.CONTEXT * 2 >= lm.WINDOW
+    # each id of a long text has the probability that it has in the whole of its window, with half a window before it
+    text = np.append(np.cumsum(np.random.default_rng(4).integers(1, 3, 200)) % 50, 60)
+    prev, want = np.append(60, text[:-1]), 0.0
+    for at in range(len(text)):
+        a = max(at // lm.STEP * lm.STEP - lm.CONTEXT, 0)
+        assert at - a >= min(at, lm.WINDOW // 2)
+        z = m._forward(m.input[prev[None, a : at + 1]])[10][0, -1] @ m.params["w"] + m.params["c"]
+        want += z[m.cls[text[at]]] - np.log(np.exp(z).sum()) + m.logp[m.cls[prev[at]], text[at]]
+    assert abs(m.log10(text, np.array([0, len(text)]))[0] - want / np.log(10)) < 1e-2

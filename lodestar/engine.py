@@ -179,18 +179,27 @@ class Engine:
         return self.aggregates.run(t, self.select(table, q), self.parser(t, cf).group_sets()[0], self.parser(t, m).metrics(), composite=True)
 
 
-def closure(edges: DataFrame, depth: int = -1, most: int = 100) -> DataFrame:
-    """Pairs reachable over edges (without an object itself), in depth steps or until nothing is new; each round is checkpointed."""
+def closure(edges: DataFrame, depth: int = -1, most: int = 40) -> DataFrame:
+    """Pairs reachable over edges (without an object itself), in depth steps or until nothing is new.
+
+    Each round doubles the paths: from all pairs of at most k steps, those of exactly k steps are carried on by all to at most 2k. So a
+    chain's pairs are made once each, and `most` rounds do for 2**most steps; running out is an error. Each round is checkpointed.
+    """
     spark = edges.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lodestar-shared")
-    edges = edges.select("src", "dst").where("src <> dst").distinct()
-    found = frontier = edges.checkpoint()
-    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    for _ in range((most if depth < 0 else min(depth, most)) - 1):
-        new = frontier.join(step, "dst").select("src", F.col("next").alias("dst")).where("src <> dst").distinct()
-        frontier = new.join(found, ["src", "dst"], "left_anti").checkpoint()
-        if frontier.isEmpty():
+    found = edges.select("src", "dst").where("src <> dst").distinct().withColumn("d", F.lit(1).cast("long")).checkpoint()
+    k = 1
+    for _ in range(most):
+        if 0 <= depth <= k:
+            break
+        last = found.where(F.col("d") == k).select("src", F.col("dst").alias("mid"))
+        more = found.where(F.col("d") <= depth - k) if depth >= 0 else found
+        new = last.join(more.select(F.col("src").alias("mid"), "dst", "d"), "mid").where("src <> dst").groupBy("src", "dst").agg((F.min("d") + k).alias("d"))
+        new = new.join(found, ["src", "dst"], "left_anti").checkpoint()
+        if new.isEmpty():
             break
-        found = found.union(frontier)
-    return found
+        found, k = found.union(new), 2 * k
+    else:
+        raise RuntimeError("closure: not settled")
+    return found.select("src", "dst")

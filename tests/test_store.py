@@ -2,10 +2,11 @@
 
 import datetime
 import json
+import random
 
 import pytest
 
-from lodestar.engine import Engine
+from lodestar.engine import Engine, closure
 from lodestar.plans.schema import Application
 from lodestar.sources import shards
 from lodestar.streaming import live
@@ -118,3 +119,26 @@ def test_pair(mail):
 def test_groups_of_many_values(mail):
     got = mail.aggregate("Message", "*", "tags", "COUNT(*), SUM(size)").collect()
     assert sorted(((r[0] or "", r[1], r[2]) for r in got)) == [("", 1, 7), ("blue", 1, 1), ("red", 2, 10)]
+
+
+def test_closure_of_long_chains(spark):
+    fields = {"role": {}, "Before": {"type": "LINK", "table": "Turn", "inverse": "After"}}
+    app = Application.from_dict({"Talk": {"tables": {"Turn": {"fields": fields}}}})
+    turns = spark.createDataFrame([(f"{i}", "system" if i == 0 else "user") for i in range(150)], "_ID string, role string")
+    before = spark.createDataFrame([(f"{i}", f"{i - 1}") for i in range(1, 150)], "src string, dst string")
+    talk = Engine(spark, app, {"Turn": turns}, {("Turn", "Before"): before})
+    assert talk.aggregate("Turn", "*", None, "COUNT(Before^) AS n").first()["n"] == sum(range(150))
+    assert talk.select("Turn", "Before^.role=system").count() == 149
+    assert talk.select("Turn", "Before^(120).role=system").count() == 120
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 5, 6, 7, -1])
+def test_closure_of_graphs(spark, depth):
+    r = random.Random(depth)
+    edges = [(r.randrange(30), r.randrange(30)) for _ in range(36)] + [(i, i + 1) for i in range(40, 52)] + [(52, 40), (1, 1)]
+    want, frontier = set(edges), set(edges)
+    for _ in range(depth - 1 if depth > 0 else 60):
+        frontier = {(a, d) for a, b in frontier for c, d in edges if b == c} - want
+        want |= frontier
+    got = [(x["src"], x["dst"]) for x in closure(spark.createDataFrame(edges, "src int, dst int"), depth).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in want if a != b}

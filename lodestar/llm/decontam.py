@@ -53,8 +53,14 @@ def _save(url: str, **arrays) -> None:
 
 
 def _scan(data: np.ndarray, bounds: np.ndarray):
+    words, upto, _, _ = _placed(data, bounds)
+    return words, upto
+
+
+def _placed(data: np.ndarray, bounds: np.ndarray):
+    """Words, the texts' bounds in them, and where each begins and ends in the data."""
     starts, ends, upto = common.words_of(data, bounds, common.NOT_ALNUM)
-    return common.segment_hashes(data, starts, ends), upto
+    return common.segment_hashes(data, starts, ends), upto, starts, ends
 
 
 def _found(words: np.ndarray, block: dict, per_size: dict):
@@ -161,7 +167,7 @@ class Blocks:
 
 
 def _hits(words: np.ndarray, upto: np.ndarray, urls: list[str]):
-    """Hit words of texts, and the names of items that each text holds windows of."""
+    """Hit words of texts, the names of items that each text holds windows of, and which words are hit."""
     depth = np.zeros(len(words) + 1, np.int64)
     names: dict[int, set[str]] = {}
     per_size: dict[int, np.ndarray] = {}
@@ -185,8 +191,9 @@ def _hits(words: np.ndarray, upto: np.ndarray, urls: list[str]):
                 names.setdefault(t, set()).update(block["items"][block["items_at"][w] : block["items_at"][w + 1]].tolist())
         for t, found in names.items():
             names[t] = {x if isinstance(x, str) else str(block["names"][x]) for x in found}
-    total = np.concatenate([[0], np.cumsum(np.cumsum(depth[:-1]) > 0)])
-    return total[upto[1:]] - total[upto[:-1]], names
+    inside = np.cumsum(depth[:-1]) > 0
+    total = np.concatenate([[0], np.cumsum(inside)])
+    return total[upto[1:]] - total[upto[:-1]], names, inside
 
 
 def _contaminated(n: np.ndarray, hit: np.ndarray) -> np.ndarray:
@@ -201,7 +208,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shing
         for batch in batches:
             for i, j, data, bounds in common.pieces(common.text_column(batch, "t")):
                 words, upto = _scan(data, bounds)
-                hit, names = _hits(words, upto, urls)
+                hit, names, _ = _hits(words, upto, urls)
                 n = np.diff(upto)
                 items = [sorted(names.get(t, ())) for t in range(j - i)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(hit), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array(_contaminated(n, hit))], ["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"])
@@ -210,16 +217,42 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shing
     return rows.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5, text_col: str = "text") -> DataFrame:
-    """The rows that aren't contaminated, with all their columns."""
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5, text_col: str = "text", mask: str | None = None, chars_col: str = "n_chars") -> DataFrame:
+    """The rows that aren't contaminated, with all their columns.
+
+    With a mask, it stands for the hit passages (runs of hit words) in the texts of those rows, however long they are, and chars_col,
+    where there is such a column, is counted anew for them.
+    """
     urls = Blocks(docs, benchmark, window, shingle, text_col, "item_id", "text").urls
 
     def run(batches):
         for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
+            keep, cut = np.ones(batch.num_rows, bool), {}
             for i, j, data, bounds in common.pieces(common.text_column(batch, text_col)):
-                words, upto = _scan(data, bounds)
-                keep[i:j] = ~_contaminated(np.diff(upto), _hits(words, upto, urls)[0])
+                words, upto, starts, ends = _placed(data, bounds)
+                hit, _, inside = _hits(words, upto, urls)
+                keep[i:j] = ~_contaminated(np.diff(upto), hit)
+                for t in np.flatnonzero((hit > 0) & keep[i:j]).tolist() if mask is not None else ():
+                    a, b = upto[t], upto[t + 1]
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], inside[a:b].astype(np.int8), [0]])))
+                    out, done = [], bounds[t]
+                    for first, after in edge.reshape(-1, 2).tolist():
+                        out += [data[done : starts[a + first]].tobytes(), mask.encode()]
+                        done = ends[a + after - 1]
+                    cut[i + t] = b"".join([*out, data[done : bounds[t + 1]].tobytes()])
+            if cut:
+                batch = _replaced(batch, cut, text_col, chars_col)
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def _replaced(batch: pa.RecordBatch, cut: dict[int, bytes], text_col: str, chars_col: str) -> pa.RecordBatch:
+    """The batch with other texts in some rows."""
+    for name, new in ((text_col, {t: x.decode("utf-8", "replace") for t, x in cut.items()}), (chars_col, None)):
+        at = batch.schema.get_field_index(name)
+        if at >= 0:
+            new = new if new is not None else {t: len(x.decode("utf-8", "replace")) for t, x in cut.items()}
+            values = [new.get(t, v) for t, v in enumerate(batch.column(at).to_pylist())]
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
+    return batch

@@ -266,3 +266,14 @@ def test_urls(spark):
     assert sorted(got, key=key) == sorted(want, key=key)
     assert any(w[4] == "block" and w[3] is None for w in want)
     assert urls.mine(pages, labels.limit(0)) == [] and urls.judge(pages.limit(0), []).count() == 0
+
+
+def test_passages_of_long_documents_are_masked(spark):
+    item = " ".join(f"item{i}" for i in range(15))
+    long = lambda k: " ".join(f"é{k}x{i}" for i in range(700))
+    texts = [f"{long(1)}, {item}. {long(2)}", f"{item} {long(3)} {item}", f"{item} {item}", long(4), None]
+    docs = spark.createDataFrame([(i, x, len(x or "")) for i, x in enumerate(texts)], "doc_id long, text string, n_chars long")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    want = {0: f"{long(1)}, [benchmark]. {long(2)}", 1: f"[benchmark] {long(3)} [benchmark]", 3: long(4), 4: None}
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in decontam.decontaminated(docs, bench, mask="[benchmark]").collect()}
+    assert got == {i: (x, len(x or "")) for i, x in want.items()}

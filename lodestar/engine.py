@@ -14,6 +14,7 @@ from .operators.project import Projection
 from .plans.ast import And, Step
 from .plans.parser import DQLError, Parser
 from .plans.schema import Application, Table
+from .sources.shared import shared_dir
 
 
 class Engine:
@@ -186,8 +187,7 @@ def closure(edges: DataFrame, depth: int = -1, most: int = 40) -> DataFrame:
     chain's pairs are made once each, and `most` rounds do for 2**most steps; running out is an error. Each round is checkpointed.
     """
     spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lodestar-shared")
+    shared_dir(spark)
     found = edges.select("src", "dst").where("src <> dst").distinct().withColumn("d", F.lit(1).cast("long")).checkpoint()
     k = 1
     for _ in range(most):

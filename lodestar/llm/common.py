@@ -13,22 +13,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 U64 = np.uint64
 
 # --------------------------------------------------------------------------- shared storage
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file:///tmp/lodestar-shared"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
@@ -38,7 +29,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -47,6 +40,12 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of stored() that nothing reads any more: what was made of them is stored itself."""
+    for t in tables:
+        remove(t.sparkSession, t.stored_at)
+
+
 def file_system(url: str) -> tuple[pafs.FileSystem, str]:
     """A pyarrow file system and the path in it; any URL pyarrow knows, such as file, hdfs or s3."""
     return pafs.FileSystem.from_uri(url if "://" in url or url.startswith("file:") else f"file://{url}")
@@ -78,23 +77,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LOWER_BYTES = LOWER.tobytes()
 
-_rng = np.random.default_rng(20240501)
-#: A random value for each (lower-cased) byte, and the base of the polynomial word hash, modulo 2**64.
-_BYTE = (_rng.integers(0, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1))[LOWER]
-_BASE = 0x9E3779B97F4A7C15 | 5
-_INV = pow(_BASE, -1, 1 << 64)
-_pow: dict[int, np.ndarray] = {}
+#: The multilinear word hash: a random factor for each place in a word, times the (lower-cased) byte there plus one, modulo 2**64.
+#: Two words agree by chance with a probability under 2**-56, whatever their structure.
+_VALUE = LOWER.astype(U64) + U64(1)
+_SEED = U64(0x9E3779B97F4A7C15)
+_factors = np.zeros(0, U64)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _pow.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        steps = np.full(size, base, U64)
-        steps[0] = 1
-        have = _pow[base] = np.multiply.accumulate(steps)
-    return have[:n]
+def _factor(n: int) -> np.ndarray:
+    """The factors of places 0 .. n-1 at least."""
+    global _factors
+    if len(_factors) < n:
+        _factors = mix(mix(np.arange(1, (1 << max(16, (n - 1).bit_length())) + 1, dtype=U64) * _SEED) ^ U64(20240501))
+    return _factors
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -115,10 +110,12 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, strip
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + strip, "right")))
         s, e = starts[i:j] - starts[i], ends[i:j] - starts[i]
-        part = _BYTE[data[starts[i] : ends[j - 1]]]
+        part = data[starts[i] : ends[j - 1]]
+        place = np.arange(len(part))
+        place -= np.repeat(s, np.diff(s, append=len(part)))
         total = np.zeros(len(part) + 1, U64)
-        np.cumsum(part * _powers(_BASE, len(part)), out=total[1:])
-        out[i:j] = mix((total[e] - total[s]) * _powers(_INV, len(part) + 1)[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
+        np.cumsum(_VALUE[part] * _factor(int(place.max(initial=0)) + 1)[place], out=total[1:])
+        out[i:j] = mix(total[e] - total[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
         i = j
     return out
 
@@ -178,18 +175,17 @@ def int_schema(spark_type: str):
 # --------------------------------------------------------------------------- connected components
 
 
-def components(edges: DataFrame, most: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), for each node of an edge.
 
-    Large-star and small-star rounds over DataFrames: each joins an edge list, which never grows, with one minimum per
-    node, so that neither a node's neighbours nor a component ever meet in one task. Ends when a round changes nothing;
-    `most` rounds would do for components of 2**15 nodes in a line, and running out is an error.
+    Large-star and small-star rounds over DataFrames, until a round changes nothing: as many as the logarithm of the longest path, squared at
+    most. Each joins an edge list, which never grows, with one minimum per node. Minima are combined before rows move; the edges of
+    a node that has very many are one key of the joins, which adaptive execution splits over tasks.
     """
-    spark = edges.sparkSession
-    shared_dir(spark)
+    shared_dir(edges.sparkSession)
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     last = None
-    for _ in range(most):
+    while True:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
         big = both.where("b > a").join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -200,7 +196,5 @@ def components(edges: DataFrame, most: int = 30) -> DataFrame:
         if now == last:
             break
         last = now
-    else:
-        raise RuntimeError("components: not settled")
     star = e.groupBy("a").agg(F.min("b").alias("b"))
     return star.select(F.col("a").alias("node"), F.col("b").alias("component")).union(star.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -3,11 +3,13 @@
 The library's own speed is under 1 MB a second and core on invented words. Its pre-tokeniser never joins characters over
 white space, nor an ASCII letter, digit or punctuation mark (the apostrophe apart) with a neighbour of another of these
 classes, so a text's ids are those of such pieces, end to end. A worker keeps the ids of the pieces that it has seen (up to
-a bound, then it starts anew) under 64-bit hashes. Texts that spell out a special token go to the library whole.
+a bound, then it starts anew) under 64-bit hashes. Texts that spell out a special token go to the library whole, and so do all texts
+where a vocabulary file normalises or splits otherwise (NORMALIZERS, SPLIT).
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -21,6 +23,9 @@ _CLASS[33:127] = 3
 _CLASS[48:58] = 2
 _CLASS[65:91] = _CLASS[97:123] = 1
 _CLASS[39] = 0
+#: What the memo is right for: text in lower case, split by this expression (fixed values of the vocabulary file).
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _open: dict[str, "Encoder"] = {}
 
 
@@ -44,6 +49,10 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.most = most
+        with open(path) as f:
+            spec = json.load(f)
+        split = (((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0].get("pattern") or {}).get("Regex")
+        self.apart = (spec.get("normalizer") or {}).get("normalizers") == NORMALIZERS and split == SPLIT
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.clear()
 
@@ -93,7 +102,7 @@ class Encoder:
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of UTF-8 texts laid end to end, and the bounds of each text's ids (add_special_tokens=False)."""
         raw = data.tobytes()
-        if any(s in raw for s in self.special):
+        if not self.apart or any(s in raw for s in self.special):
             return self._whole(raw, bounds)
         if not len(data):
             return self.ids[:0], np.zeros(len(bounds), np.int64)

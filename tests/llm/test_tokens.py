@@ -108,3 +108,29 @@ def test_plans_use_all_pieces(seed):
             used[x] = used.get(x, 0) + m * n
     assert used == counts
     assert sum(n for _, n in got) <= sum(n for _, n in packing.best_fit(counts, 100)) + 1
+
+
+def test_structured_words_differ():
+    """Thue-Morse words, which any polynomial modulo 2**64 confuses; and ASCII case, which the hash leaves out."""
+    from lodestar.llm import common
+
+    a, b = b"a", b"b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    words = [a, b, a.upper(), a + b, b + a, a[:-1], b""]
+    at = np.cumsum([0, *map(len, words)])
+    h = common.segment_hashes(np.frombuffer(b"".join(words), np.uint8), at[:-1], at[1:]).tolist()
+    assert h[0] == h[2] and len({*h}) == 6
+    assert h == common.segment_hashes(np.frombuffer(b"".join(words), np.uint8), at[:-1], at[1:], strip=10).tolist()
+
+
+def test_other_vocabularies(library):
+    """A file that keeps case and joins other characters: its ids come from the library."""
+    import public_tokenizers
+
+    enc = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Hello hello HELLO", "a 1b2  c", ""]
+    raw = [x.encode() for x in texts]
+    ids, upto = enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [ids[a:b].tolist() for a, b in zip(upto[:-1], upto[1:], strict=True)] == [enc.library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert tokens.encoder().apart

@@ -5,7 +5,8 @@ window if shorter). A text holds a window only if it holds all its shingles, so
 texts, is the necessary prefix. Texts are scanned for these prefix shingles alone; a hit gives the window's place by the shingle's
 place in it; it must lie within the text (length and positional bounds), and then all its words are compared.
 
-Items are taken in blocks of bounded size, whose index files lie in the shared folder; every text meets every block. Words are
+Items are taken in blocks of bounded size, whose index files lie in the shared folder; every text meets every block, blocks going round
+outside runs of about RUN_BYTES of texts, so that a block is loaded once a run. One pass over the texts counts the shingles of all blocks. Words are
 compared by 64-bit hashes. Null texts have no words; null items and items without words have no windows; rows that repeat
 an id count separately; an empty benchmark hits nothing; other columns are ignored or passed on.
 """
@@ -25,6 +26,8 @@ from .common import U64
 
 #: Bytes of item text in a block, about.
 BLOCK_BYTES = 8 << 20
+#: Bytes of texts that a task holds where there are several blocks, about.
+RUN_BYTES = 32 << 20
 _TABLE = 1 << 22
 _loaded: dict[str, dict] = {}
 
@@ -32,7 +35,7 @@ _loaded: dict[str, dict] = {}
 def _load(url: str) -> dict:
     """A block's arrays; a worker keeps the last one."""
     if url not in _loaded:
-        _loaded.clear()
+        _loaded.clear()  # one block at a time: blocks go round outside the texts
         fs, path = common.file_system(url)
         with fs.open_input_file(path) as f:
             z = np.load(io.BytesIO(f.read()), allow_pickle=False)
@@ -52,24 +55,39 @@ def _save(url: str, **arrays) -> None:
         f.write(out.getvalue())
 
 
-def _scan(data: np.ndarray, bounds: np.ndarray):
-    words, upto, _, _ = _placed(data, bounds)
-    return words, upto
+class _Texts:
+    """Words of texts laid end to end, and where each begins and ends in the data."""
 
+    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+        self.starts, self.ends, self.upto = common.words_of(data, bounds, common.NOT_ALNUM)
+        self.words = common.segment_hashes(data, self.starts, self.ends)
+        self.data, self.bounds, self.per_size = data, bounds, {}
 
-def _placed(data: np.ndarray, bounds: np.ndarray):
-    """Words, the texts' bounds in them, and where each begins and ends in the data."""
-    starts, ends, upto = common.words_of(data, bounds, common.NOT_ALNUM)
-    return common.segment_hashes(data, starts, ends), upto, starts, ends
+    def shingles(self, k: int) -> np.ndarray:
+        if k not in self.per_size:
+            self.per_size[k] = common.shingle_hashes(self.words, k)
+        return self.per_size[k]
 
 
-def _found(words: np.ndarray, block: dict, per_size: dict):
+def _runs(batches, name: str, several: bool):
+    """Runs of batches with their texts in pieces: (batch, [(from row, to row, _Texts)]); a batch a run if there is one block."""
+    run, held = [], 0
+    for batch in batches:
+        col = common.text_column(batch, name)
+        run.append((batch, [(i, j, _Texts(data, bounds)) for i, j, data, bounds in common.pieces(col)]))
+        held += col.nbytes
+        if not several or held >= RUN_BYTES:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
+
+
+def _found(texts: _Texts, block: dict):
     """Places of the words, and entries of the block, where a key of the block stands."""
     key = block["key"]
     for k in np.unique(block["size"]).tolist():
-        if k not in per_size:
-            per_size[k] = common.shingle_hashes(words, k)
-        h = per_size[k]
+        h = texts.shingles(k)
         at = np.flatnonzero(block["table"][(h & U64(_TABLE - 1)).astype(np.int64)])
         i = np.searchsorted(key, h[at])
         j = np.searchsorted(key, h[at], "right")
@@ -86,160 +104,180 @@ class Blocks:
     """The benchmark's index, in files of bounded size."""
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, text_col: str, item_col: str, item_text: str):
-        spark = docs.sparkSession
-        self.folder = common.new_folder(spark, "benchmark")
+        folder = common.new_folder(docs.sparkSession, "benchmark")
         items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).where("t is not null and i is not null")
         total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
         count = max(1, -(-total // BLOCK_BYTES))
-        self.urls = []
+        urls = []
         for b in range(count):
             mine = items.where(F.pmod(F.xxhash64("i"), F.lit(count)) == b).collect()  # a block of bounded size
-            self._build(mine, f"{self.folder}/{b}", docs.select(F.col(text_col).alias("t")), window, shingle)
+            if self._shingles(mine, f"{folder}/{b}-all", window, shingle):
+                urls.append(f"{folder}/{b}")
+        times = self._rarity(docs.select(F.col(text_col).alias("t")), [f"{u}-all" for u in urls]) if urls else None
+        for b, url in enumerate(urls):
+            self._pick(times.where(F.col("b") == b).select("k", "n").toArrow(), url, window)
+        if times is not None:
+            common.forget(times)
+        self.urls = urls
 
-    def _build(self, rows: list, url: str, texts: DataFrame, window: int, shingle: int) -> None:
+    @staticmethod
+    def _shingles(rows: list, url: str, window: int, shingle: int) -> bool:
+        """A block's distinct windows with all their shingles; whether there are any."""
         raw = [r["t"].encode() for r in rows]
-        bounds = np.cumsum([0, *map(len, raw)])
-        words, upto = _scan(np.frombuffer(b"".join(raw), np.uint8), bounds)
+        texts = _Texts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
         seen: dict[bytes, int] = {}
         first, length, member, item = [], [], [], []
         for r, row in enumerate(rows):
-            a, b = int(upto[r]), int(upto[r + 1])
+            a, b = int(texts.upto[r]), int(texts.upto[r + 1])
             n = min(window, b - a)
             for s in range(a, b - n + 1) if n else ():
-                w = seen.setdefault(words[s : s + n].tobytes(), len(seen))
+                w = seen.setdefault(texts.words[s : s + n].tobytes(), len(seen))
                 if w == len(first):
                     first.append(s)
                     length.append(n)
                 member.append(w)
                 item.append(str(row["i"]))
         if not first:
-            return
+            return False
         names, number = np.unique(np.array(item), return_inverse=True)  # in the order of strings
         pairs = np.unique(np.stack([np.array(member), number], 1), axis=0)
         first, length = np.array(first), np.array(length)
         size = np.minimum(shingle, length)
-        hashes = {k: common.shingle_hashes(words, k) for k in np.unique(size).tolist()}
         per = length - size + 1
         owner = np.repeat(np.arange(len(first)), per)
         offset = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
         key = np.zeros(len(owner), U64)
-        for k, h in hashes.items():
+        for k in np.unique(size).tolist():
             m = size[owner] == k
-            key[m] = h[first[owner[m]] + offset[m]]
+            key[m] = texts.shingles(k)[first[owner[m]] + offset[m]]
         order = np.argsort(key, kind="stable")
-        _save(f"{url}-all", key=key[order], size=size[owner][order])
-        times = self._rarity(texts, f"{url}-all", len(key))
-        count = np.zeros(len(key), np.int64)
-        count[order] = times
-        rank = np.lexsort((offset, key, count, owner))  # by window: rarest first, then the order of hashes, then place
-        pick = rank[np.searchsorted(owner[rank], np.arange(len(first)))]
-        order = np.argsort(key[pick], kind="stable")
-        pick = pick[order]
-        w = owner[pick]
-        grid = np.zeros((len(w), window), U64)
-        for c in range(window):
-            m = length[w] > c
-            grid[m, c] = words[first[w[m]] + c]
         at = np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
-        _save(url, key=key[pick], size=size[w], offset=offset[pick], length=length[w], words=grid, window=w, items_at=at, items=pairs[:, 1], names=names.astype("U"))
-        self.urls.append(url)
+        _save(url, key=key[order], size=size[owner][order], owner=owner[order].astype(np.int32), offset=offset[order].astype(np.int16), first=first, length=length, text=texts.words, items_at=at, items=pairs[:, 1], names=names.astype("U"))
+        return True
 
     @staticmethod
-    def _rarity(texts: DataFrame, url: str, n: int) -> np.ndarray:
-        """How often each key stands in all texts; n numbers reach the driver, whatever the texts."""
+    def _rarity(texts: DataFrame, urls: list[str]) -> DataFrame:
+        """How often each key k of block b stands in all texts, from one pass over them; as many rows as the blocks have keys at most."""
 
         def run(batches):
-            times, block = np.zeros(n, np.int64), None
-            for batch in batches:
-                block = block or _load(url)
-                for _, _, data, bounds in common.pieces(common.text_column(batch, "t")):
-                    words, _ = _scan(data, bounds)
-                    for _, entry in _found(words, block, {}):
-                        times += np.bincount(entry, minlength=n)
-            at = np.flatnonzero(times)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(times[at])], ["k", "n"])
-
-        out = np.zeros(n, np.int64)
-        for r in texts.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-            out[r["k"]] = r["n"]
-        return out
-
-
-def _hits(words: np.ndarray, upto: np.ndarray, urls: list[str]):
-    """Hit words of texts, the names of items that each text holds windows of, and which words are hit."""
-    depth = np.zeros(len(words) + 1, np.int64)
-    names: dict[int, set[str]] = {}
-    per_size: dict[int, np.ndarray] = {}
-    for url in urls:
-        block = _load(url)
-        for place, e in _found(words, block, per_size):
+            times: list = [None] * len(urls)
+            for run in _runs(batches, "t", len(urls) > 1):
+                for b, url in enumerate(urls):
+                    block = _load(url)
+                    if times[b] is None:
+                        times[b] = np.zeros(len(block["key"]), np.int64)
+                    for _, parts in run:
+                        for _, _, t in parts:
+                            for _, entry in _found(t, block):
+                                times[b] += np.bincount(entry, minlength=len(times[b]))
+            for b, n in enumerate(times):
+                at = np.flatnonzero(n) if n is not None else ()
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b, np.int32)), pa.array(at), pa.array(n[at])], ["b", "k", "n"])
+
+        counted = texts.mapInArrow(run, "b int, k long, n long").groupBy("b", "k").agg(F.sum("n").alias("n"))
+        return common.stored(counted, "rarity")
+
+    @staticmethod
+    def _pick(times: pa.Table, url: str, window: int) -> None:
+        """The block's index: of each window its rarest shingle, then that of the first hash and place."""
+        block = _load(f"{url}-all")
+        count = np.zeros(len(block["key"]), np.int64)
+        count[times.column("k").to_numpy()] = times.column("n").to_numpy()
+        owner, key, first, length = block["owner"], block["key"], block["first"], block["length"]
+        rank = np.lexsort((block["offset"], key, count, owner))
+        pick = rank[np.searchsorted(owner[rank], np.arange(len(first)))]
+        pick = pick[np.argsort(key[pick], kind="stable")]
+        w = owner[pick]
+        _save(url, key=key[pick], size=block["size"][pick].astype(np.int16), offset=block["offset"][pick], length=length[w].astype(np.int16), first=first[w].astype(np.int32), text=block["text"], window=w, items_at=block["items_at"], items=block["items"], names=block["names"])
+
+
+class _Hits:
+    """What a piece of texts holds of the benchmark: filled block by block."""
+
+    def __init__(self, texts: _Texts):
+        self.texts, self.depth, self.names = texts, np.zeros(len(texts.words) + 1, np.int64), {}
+
+    def add(self, block: dict) -> None:
+        words, upto = self.texts.words, self.texts.upto
+        for place, e in _found(self.texts, block):
             start = place - block["offset"][e]
             text = np.searchsorted(upto, place, "right") - 1
             fits = (start >= upto[text]) & (start + block["length"][e] <= upto[text + 1])
             start, e, text = start[fits], e[fits], text[fits]
             c = 0
-            while len(e) and c < block["words"].shape[1]:
+            while len(e) and c < block["length"].max():
                 long = block["length"][e] > c
                 good = ~long
-                good[long] = words[start[long] + c] == block["words"][e[long], c]
+                good[long] = words[start[long] + c] == block["text"][block["first"][e[long]] + c]
                 start, e, text = start[good], e[good], text[good]
                 c += 1
-            np.add.at(depth, start, 1)
-            np.add.at(depth, start + block["length"][e], -1)
+            np.add.at(self.depth, start, 1)
+            np.add.at(self.depth, start + block["length"][e], -1)
             for t, w in np.unique(np.stack([text, block["window"][e]], 1), axis=0).tolist():
-                names.setdefault(t, set()).update(block["items"][block["items_at"][w] : block["items_at"][w + 1]].tolist())
-        for t, found in names.items():
-            names[t] = {x if isinstance(x, str) else str(block["names"][x]) for x in found}
-    inside = np.cumsum(depth[:-1]) > 0
-    total = np.concatenate([[0], np.cumsum(inside)])
-    return total[upto[1:]] - total[upto[:-1]], names, inside
+                self.names.setdefault(t, set()).update(block["names"][block["items"][block["items_at"][w] : block["items_at"][w + 1]]].tolist())
+
+    def result(self):
+        """Words and hit words of each text, and which words are hit."""
+        inside = np.cumsum(self.depth[:-1]) > 0
+        total = np.concatenate([[0], np.cumsum(inside)])
+        return np.diff(self.texts.upto), total[self.texts.upto[1:]] - total[self.texts.upto[:-1]], inside
+
+
+def _scanned(batches, name: str, urls: list[str]):
+    """(batch, [(from row, to row, _Hits)]) of all batches."""
+    for run in _runs(batches, name, len(urls) > 1):
+        out = [(batch, [(i, j, _Hits(t)) for i, j, t in parts]) for batch, parts in run]
+        for url in urls:
+            block = _load(url)
+            for _, parts in out:
+                for _, _, h in parts:
+                    h.add(block)
+        yield from out
 
 
-def _contaminated(n: np.ndarray, hit: np.ndarray) -> np.ndarray:
-    return (hit > 0) & (20 * hit >= n)
+def _contaminated(n: np.ndarray, hit: np.ndarray, share: int | None) -> np.ndarray:
+    return (hit > 0) & (share * hit >= n) if share else hit > 0
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_words, n_hit, n_items, items (strings, sorted), items_sha256, contaminated."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5, share: int | None = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per row: doc_id, n_words, n_hit, n_items, items (strings, sorted), items_sha256, contaminated: one in `share` words or more is hit, or any word if share is None."""
     urls = Blocks(docs, benchmark, window, shingle, text_col, item_col, item_text).urls
 
     def run(batches):
-        for batch in batches:
-            for i, j, data, bounds in common.pieces(common.text_column(batch, "t")):
-                words, upto = _scan(data, bounds)
-                hit, names, _ = _hits(words, upto, urls)
-                n = np.diff(upto)
-                items = [sorted(names.get(t, ())) for t in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(hit), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array(_contaminated(n, hit))], ["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"])
+        for batch, parts in _scanned(batches, "t", urls):
+            for i, j, h in parts:
+                n, hit, _ = h.result()
+                items = [sorted(h.names.get(t, ())) for t in range(j - i)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(hit), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array(_contaminated(n, hit, share))], ["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     return rows.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5, text_col: str = "text", mask: str | None = None, chars_col: str = "n_chars") -> DataFrame:
-    """The rows that aren't contaminated, with all their columns.
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5, share: int | None = None, text_col: str = "text", mask: str | None = None, chars_col: str = "n_chars") -> DataFrame:
+    """The rows that aren't contaminated (see contamination(); by default those without any hit word), with all their columns.
 
-    With a mask, it stands for the hit passages (runs of hit words) in the texts of those rows, however long they are, and chars_col,
-    where there is such a column, is counted anew for them.
+    With a mask, it stands for the hit passages (runs of hit words) in the texts of the rows that a share leaves, however long they are,
+    and chars_col, where there is such a column, is counted anew for them.
     """
     urls = Blocks(docs, benchmark, window, shingle, text_col, "item_id", "text").urls
 
     def run(batches):
-        for batch in batches:
+        for batch, parts in _scanned(batches, text_col, urls):
             keep, cut = np.ones(batch.num_rows, bool), {}
-            for i, j, data, bounds in common.pieces(common.text_column(batch, text_col)):
-                words, upto, starts, ends = _placed(data, bounds)
-                hit, _, inside = _hits(words, upto, urls)
-                keep[i:j] = ~_contaminated(np.diff(upto), hit)
+            for i, j, h in parts:
+                n, hit, inside = h.result()
+                keep[i:j] = ~_contaminated(n, hit, share)
+                x = h.texts
                 for t in np.flatnonzero((hit > 0) & keep[i:j]).tolist() if mask is not None else ():
-                    a, b = upto[t], upto[t + 1]
+                    a, b = x.upto[t], x.upto[t + 1]
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], inside[a:b].astype(np.int8), [0]])))
-                    out, done = [], bounds[t]
+                    out, done = [], x.bounds[t]
                     for first, after in edge.reshape(-1, 2).tolist():
-                        out += [data[done : starts[a + first]].tobytes(), mask.encode()]
-                        done = ends[a + after - 1]
-                    cut[i + t] = b"".join([*out, data[done : bounds[t + 1]].tobytes()])
+                        out += [x.data[done : x.starts[a + first]].tobytes(), mask.encode()]
+                        done = x.ends[a + after - 1]
+                    cut[i + t] = b"".join([*out, x.data[done : x.bounds[t + 1]].tobytes()])
             if cut:
                 batch = _replaced(batch, cut, text_col, chars_col)
             yield batch.filter(pa.array(keep))

@@ -51,16 +51,18 @@ def brute_contamination(docs, items, window=13):
 @pytest.mark.parametrize("block", [8 << 20, 600])
 def test_contamination(spark, monkeypatch, block):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontam, "RUN_BYTES", 50_000)
     items = pq.read_table(f"{cases.SF}/benchmark.parquet").to_pylist()
     items = [(r["item_id"], r["text"]) for r in items[:8]] + [(1000, "one two"), (1001, "the " * 15), (1002, None), (1003, ""), (9, "one two"), (1004, "É x,y É"), (1005, "w1 w2 w3 w4 w5 w6")]
-    more = [f"{x} and a bit {items[3][1]} more" for x in ("a", "b " * 400)] + [items[5][1].upper(), "one two", "x one TWO, y", items[2][1][:60]]
+    more = [f"{x} and a bit {items[3][1]} more" for x in ("a", "b " * 4000)] + [items[5][1].upper(), "one two", "x one TWO, y", items[2][1][:60]]
     docs, data = cases.documents(spark, cases.texts() + more)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontam.contamination(docs, bench).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
     want = list(brute_contamination([(d[0], d[1]) for d in data], items))
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     clean = decontam.decontaminated(docs, bench)
-    assert clean.columns == docs.columns and clean.count() == sum(not w[-1] for w in want)
+    assert clean.columns == docs.columns and clean.count() == sum(not w[2] for w in want)
+    assert decontam.decontaminated(docs, bench, share=20).count() == sum(not w[-1] for w in want) > clean.count()
 
 
 def test_contamination_of_nothing(spark):
@@ -275,5 +277,5 @@ def test_passages_of_long_documents_are_masked(spark):
     docs = spark.createDataFrame([(i, x, len(x or "")) for i, x in enumerate(texts)], "doc_id long, text string, n_chars long")
     bench = spark.createDataFrame([(7, item)], "item_id long, text string")
     want = {0: f"{long(1)}, [benchmark]. {long(2)}", 1: f"[benchmark] {long(3)} [benchmark]", 3: long(4), 4: None}
-    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in decontam.decontaminated(docs, bench, mask="[benchmark]").collect()}
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in decontam.decontaminated(docs, bench, share=20, mask="[benchmark]").collect()}
     assert got == {i: (x, len(x or "")) for i, x in want.items()}

@@ -23,8 +23,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; passages of the benchmark in the others are masked in the texts."""
-    return decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), mask="[benchmark]")
+    """Documents that hold any passage of the benchmark go, however small a part of them it is."""
+    return decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.aggregate import Aggregates
@@ -13,25 +13,45 @@ from .operators.predicates import Predicates
 from .operators.project import Projection
 from .plans.ast import And, Step
 from .plans.parser import DQLError, Parser
-from .plans.schema import Application, Table
+from .plans.schema import Application, Field, Table
 from .sources.shared import shared_dir
 
 
 class Engine:
-    """tables: DataFrames with _ID; links: (src, dst) edges by (table, link). Edges of an inverse link are derived."""
+    """tables: DataFrames with _ID; keys: the column, by table, whose text is the _ID, where there is one.
+
+    links: by (table, link), edges (src, dst) of _IDs, or the name of a column of the table that holds the linked object's _ID or key (a
+    foreign key). Inverse links are derived. A cross-link over a single-valued junction is a foreign key too. Links by foreign keys are
+    followed on these columns alone: neither edges nor the _IDs of the objects that hold them are made.
+    """
 
     DEFAULT_SIZE = 100
 
-    def __init__(self, spark: SparkSession, app: Application, tables: dict[str, DataFrame], links: dict[tuple[str, str], DataFrame] | None = None, clock: datetime | None = None):
-        self.spark, self.app, self.tables, self.clock = spark, app, dict(tables), clock
-        self.links = dict(links or {})
-        for (t, name), edges in list(self.links.items()):
+    def __init__(self, spark: SparkSession, app: Application, tables: dict[str, DataFrame], links: dict[tuple[str, str], DataFrame | str] | None = None, clock: datetime | None = None, keys: dict[str, str] | None = None):
+        self.spark, self.app, self.tables, self.clock, self.keys = spark, app, dict(tables), clock, dict(keys or {})
+        self.links: dict[tuple[str, str], DataFrame] = {}
+        self.held: dict[tuple[str, str], str] = {}  # links held in a column of their own table
+        self.held_there: dict[tuple[str, str], str] = {}  # and their inverses, held in a column of the other table
+        for t in app.tables.values():
+            for f in t.links():
+                if f.type == "XLINK" and f.junction not in (None, "_ID") and f.junction in t.fields and not t.fields[f.junction].collection:
+                    self._hold(t.name, f, f.junction)
+        for (t, name), edges in (links or {}).items():
             f = app.tables[t].field(name)
-            if f.inverse and (f.table, f.inverse) not in self.links:
+            if isinstance(edges, str):
+                self._hold(t, f, edges)
+                continue
+            self.links[t, name] = edges
+            if f.inverse and (f.table, f.inverse) not in (links or {}):
                 self.links[f.table, f.inverse] = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         self._serial = 0
         self.predicates, self.aggregates, self.projection = Predicates(self), Aggregates(self), Projection(self)
 
+    def _hold(self, table: str, f: Field, column: str) -> None:
+        self.held[table, f.name] = column
+        if f.inverse:
+            self.held_there[f.table, f.inverse] = column
+
     def serial(self) -> int:
         self._serial += 1
         return self._serial
@@ -49,14 +69,27 @@ class Engine:
 
     # -- links
 
+    def key(self, table: Table) -> Column:
+        """What objects are told apart by: the key column, or the _ID."""
+        return F.col(f"`{self.keys.get(table.name, '_ID')}`")
+
+    def reference(self, column: str, target: Table) -> Column:
+        """A foreign key, to compare with key(target)."""
+        c = F.col(f"`{column}`")
+        return c if target.name in self.keys else c.cast("string")
+
     def edges(self, table: Table, name: str) -> DataFrame:
         """Edges of a link; of a cross-link, by its junction values."""
         if (table.name, name) in self.links:
             return self.links[table.name, name]
         f = table.field(name)
+        if (table.name, name) in self.held:
+            return self.frame(table).select(F.col("_ID").alias("src"), F.col(f"`{self.held[table.name, name]}`").cast("string").alias("dst")).where("dst is not null")
+        other = self.app.tables[f.table]
+        if (table.name, name) in self.held_there:
+            return self.frame(other).select(F.col(f"`{self.held_there[table.name, name]}`").cast("string").alias("src"), F.col("_ID").alias("dst")).where("src is not null")
         if f.type != "XLINK":
             raise KeyError(f"no edges for {table.name}.{name}")
-        other = self.app.tables[f.table]
         if f.junction in (None, "_ID"):  # the other side holds the junction
             back = other.field(f.inverse)
             return self._junction(other, back.junction).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -72,44 +105,103 @@ class Engine:
             table = self.app.tables[table.field(s.name).table]
         return table
 
-    def hop(self, table: Table, s: Step) -> tuple[DataFrame, Table]:
-        """Edges over one step: its closure if transitive, only to objects that its filters take."""
-        target = self.target(table, (s,))
-        ok = None
-        if s.where:
-            ok = self.predicates.filter(self.frame(target), target, And(s.where)).select(F.col("_ID").alias("dst"))
-        edges = self.edges(table, s.name)
-        if ok is not None:
-            edges = edges.join(ok, "dst", "left_semi").select("src", "dst")
-        if s.depth:
-            edges = closure(edges, s.depth)
-        return edges, target
-
-    def follow(self, table: Table, steps: tuple) -> tuple[DataFrame, Table]:
-        """Distinct (src, dst) over several links."""
-        out, t = None, table
-        for s in steps:
-            e, t = self.hop(t, s)
-            out = e if out is None else out.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst")).distinct()
-        return out, t
+    def split(self, table: Table, steps: tuple) -> tuple[tuple, tuple]:
+        """Steps over links, and those after."""
+        n, t = 0, table
+        while n < len(steps) and steps[n].name in t.fields and t.field(steps[n].name).is_link:
+            t = self.app.tables[t.field(steps[n].name).table]
+            n += 1
+        return steps[:n], steps[n:]
 
-    def values(self, table: Table, steps: tuple) -> DataFrame:
-        """(src, value) of a path's values: of each linked object once."""
-        links, rest = self.aggregates._split(table, steps)
+    def spread(self, table: Table, steps: tuple) -> list[tuple]:
+        """The paths that a path over a group field stands for: one for each member."""
+        if steps and steps[0].name in table.fields and table.field(steps[0].name).type == "GROUP":
+            s = steps[0]
+            out = []
+            for m in table.field(s.name).members:
+                if len(steps) == 1 or table.field(m).is_link or table.field(m).type == "GROUP":
+                    out += self.spread(table, (Step(m, s.quant, s.where, s.depth), *steps[1:]))
+            return out
+        return [steps]
+
+    def taken(self, s: Step, target: Table) -> DataFrame:
+        """The objects of a step's target that its filters take."""
+        return self.predicates.filter(self.frame(target), target, And(s.where)) if s.where else self.frame(target)
+
+    def walk(self, table: Table, steps: tuple, docs: DataFrame | None = None, distinct: bool = True, ids: bool = False) -> tuple[DataFrame, Column, bool]:
+        """Each object's linked objects over a path: rows of __src and the last table's columns (ids: only _ID is wanted).
+
+        Also what of the objects __src stands for, and whether one may have several rows. docs: the objects wanted, if not all.
+        distinct: each linked object once, though several ways lead to it.
+        """
+        rows, ident, t, many = None, None, table, False
+        for i, s in enumerate(steps):
+            target, last = self.target(t, (s,)), i == len(steps) - 1
+            held, there = self.held.get((t.name, s.name)), self.held_there.get((t.name, s.name))
+            if s.depth or (held is None and there is None):
+                edges = self.edges(t, s.name)
+                edges = closure(edges, s.depth) if s.depth else edges
+                if rows is None:
+                    ident = F.col("_ID")
+                    left = edges.select(F.col("src").alias("__src"), F.col("dst").alias("__to"))
+                    left = left if docs is None else left.join(docs.select(F.col("_ID").alias("__in")), F.col("__src") == F.col("__in"), "left_semi")
+                else:
+                    left = rows.select("__src", F.col("_ID").alias("__from")).join(edges.select(F.col("src").alias("__at"), F.col("dst").alias("__to")), F.col("__from") == F.col("__at")).select("__src", "__to")
+                    left = left.distinct() if distinct else left
+                many, on = True, F.col("_ID")
+            elif held:
+                ref = self.reference(held, target)
+                if rows is None:
+                    ident = self.key(table)
+                    left = (self.frame(table) if docs is None else docs).select(ident.alias("__src"), ref.alias("__to"))
+                else:
+                    left = rows.select("__src", ref.alias("__to"))
+                    left = left.distinct() if many and distinct else left
+                left, on = left.where("__to is not null"), self.key(target)
+            else:
+                ref, many = self.reference(there, t), True
+                if rows is None:
+                    ident = self.key(table)
+                    rows = self.taken(s, target).withColumn("__src", ref).where("__src is not null")
+                    rows = rows if docs is None else rows.join(docs.select(ident.alias("__in")), F.col("__src") == F.col("__in"), "left_semi")
+                    t = target
+                    continue
+                left, on = rows.select("__src", self.key(t).alias("__to")), ref
+            if ids and last and not s.where and not there:
+                rows = left.select("__src", F.col("__to").cast("string").alias("_ID"))
+            else:
+                rows = left.join(self.taken(s, target), F.col("__to") == on).drop("__to")
+            t = target
+        return rows, ident, many
+
+    def values(self, table: Table, steps: tuple, docs: DataFrame | None = None, distinct: bool = True, count: bool = False) -> tuple[DataFrame, Column, bool]:
+        """(src, value) of a path's values, of each linked object once; what src stands for; whether an object may have several.
+
+        count: values are only counted, so that those of a path that ends in a link needn't be ids.
+        """
+        paths = self.spread(table, steps)
+        if len(paths) != 1:
+            parts = [self.values(table, p, docs, distinct) for p in paths]
+            rows = [r.select(F.col("src").cast("string").alias("src"), F.col("value").cast("string").alias("value") if self.value_type(table, steps) in ("LINK", "TEXT") else "value") for r, _, _ in parts]
+            return reduce(DataFrame.union, rows), F.col("_ID"), True
+        links, rest = self.split(table, paths[0])
         target = self.target(table, links)
-        if not rest or rest[0].name in ("*", "_ID"):
-            if not links:
-                return self.frame(table).select(F.col("_ID").alias("src"), F.col("_ID").alias("value"))
-            return self.follow(table, links)[0].select("src", F.col("dst").alias("value"))
-        f = target.field(rest[0].name)
-        value = F.explode_outer(f"`{f.name}`") if f.collection else F.col(f"`{f.name}`")
-        frame = self.frame(target).select(F.col("_ID").alias("dst"), value.alias("value"))
+        ends = not rest or rest[0].name in ("*", "_ID")
+        if ends:
+            value, many = F.col("_ID"), False
+        else:
+            f = target.field(rest[0].name)
+            value, many = F.explode(f"`{f.name}`") if f.collection else F.col(f"`{f.name}`"), f.collection
         if not links:
-            return frame.select(F.col("dst").alias("src"), "value")
-        return self.follow(table, links)[0].join(frame, "dst").select("src", "value")
+            key = self.key(table)
+            return (self.frame(table) if docs is None else docs).select(key.alias("src"), value.alias("value")), key, many
+        rows, ident, several = self.walk(table, links, docs, distinct, ends)
+        if ends and count:
+            value = F.lit("")
+        return rows.select(F.col("__src").alias("src"), value.alias("value")), ident, many or several
 
     def value_type(self, table: Table, steps: tuple) -> str:
-        links, rest = self.aggregates._split(table, steps)
+        links, rest = self.split(table, self.spread(table, steps)[0])
         if not rest or rest[0].name in ("*", "_ID"):
             return "LINK"
         return self.target(table, links).field(rest[0].name).type
@@ -151,33 +243,37 @@ class Engine:
             df = df.offset(k)
         if size:
             df = df.limit(size)
-        out = self.projection.select(df, t, self.parser(t, f).outputs())
+        out = self.projection.select(df, t, self.parser(t, f).outputs(), None if q == "*" and not (size or k or e or g or scope) else df)
         if m:
-            per = self.aggregates.run(t, df, Parser("_ID AS _mid").groups(), self.parser(t, m).metrics())
+            per = self.aggregates.run(t, [(df, Parser("_ID AS _mid").groups())], self.parser(t, m).metrics())
             out = out.join(per, F.col("_ID") == F.col("_mid"), "left").drop("_mid")
         return out
 
     def count(self, table: str, q: str = "*", **scope) -> DataFrame:
         return self.select(table, q, **scope).agg(F.count(F.lit(1)).alias("count"))
 
-    def aggregate(self, table: str, q: str = "*", f: str | None = None, m: str = "COUNT(*)", level: int | None = None, flat: int | None = None, empty: bool = False, **scope) -> DataFrame:
-        """An aggregate query: f groups, m metrics. Key columns are g1, g2 and so on, or the groups' aliases."""
+    def aggregate(self, table: str, q: str = "*", f: str | None = None, m: str = "COUNT(*)", level: int | None = None, flat: int | None = None, empty: bool = False, pair: tuple[str, str] | None = None, **scope) -> DataFrame:
+        """An aggregate query: f groups, m metrics. Key columns are g1, g2 and so on, or the groups' aliases.
+
+        pair: two links that _pair.first and _pair.second stand for, in either order; an object counts once in a group that both give it.
+        """
         t = self.table(table)
-        docs = self.select(table, q, **scope)
         metrics = self.parser(t, m).metrics()
-        sets = self.parser(t, f).group_sets() if f else [[]]
+        ways = [(q, f)] if pair is None else [tuple(x and x.replace("_pair.first", a).replace("_pair.second", b) for x in (q, f)) for a, b in (pair, pair[::-1])]
+        docs = [self.select(table, x, **scope) for x, _ in ways]
+        sets = [self.parser(t, x).group_sets() if x else [[]] for _, x in ways]
         outs = []
-        for i, groups in enumerate(sets):
-            out = self.aggregates.run(t, docs, groups, metrics, level, flat=flat)
-            if empty and len(groups) == 1:
-                out = self.aggregates.with_empty(out, groups[0])
-            outs.append(out.withColumn("_set", F.lit(i)) if len(sets) > 1 else out)
+        for i, groups in enumerate(zip(*sets, strict=True)):
+            out = self.aggregates.run(t, list(zip(docs, groups, strict=True)), metrics, level, flat=flat, whole=q == "*" and not scope and pair is None)
+            if empty and len(groups[0]) == 1:
+                out = self.aggregates.with_empty(out, groups[0][0])
+            outs.append(out.withColumn("_set", F.lit(i)) if len(sets[0]) > 1 else out)
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), outs)
 
     def composite(self, table: str, q: str = "*", cf: str = "", m: str = "COUNT(*)") -> DataFrame:
         """The extra groups of a composite grouping: the last level over all parents."""
         t = self.table(table)
-        return self.aggregates.run(t, self.select(table, q), self.parser(t, cf).group_sets()[0], self.parser(t, m).metrics(), composite=True)
+        return self.aggregates.run(t, [(self.select(table, q), self.parser(t, cf).group_sets()[0])], self.parser(t, m).metrics(), composite=True, whole=q == "*")
 
 
 def closure(edges: DataFrame, depth: int = -1, most: int = 40) -> DataFrame:

@@ -1,11 +1,15 @@
 """Aggregate queries: groups over paths, metrics per object added once to each group that the object is in.
 
-Metrics are first reduced to one row per object, then objects meet the distinct keys of their groups, so a parent's metric is
-not a sum over its children where keys have several values. Grouping paths that share their links are expanded once, together.
+A row of the selected objects carries its scalar keys and the scalars that metrics need, so that these take no join. Keys over links are
+joined to it; paths are followed from the selected objects only. Metrics over paths are first reduced to one row per object, those
+over one path together. So a parent's metric is not a sum over its children where keys have several values. Grouping
+paths that share their links are expanded once, together.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,26 +46,90 @@ def batch_labels(bounds: tuple) -> list[str]:
     return [f"< {bounds[0]}", *(f"{a} - {b}" for a, b in zip(bounds, bounds[1:], strict=False)), f">= {bounds[-1]}"]
 
 
+class _Plan:
+    """What the metrics of an aggregate query need: columns of the objects, sums per object over paths, and sets of values over paths."""
+
+    def __init__(self, engine, table: Table, docs: DataFrame | None):
+        self.engine, self.table, self.docs = engine, table, docs
+        self.owned: list = []  # (name, value, where, aggregate, 0 where there is none)
+        self.paths: dict = {}  # (steps, where): (metric, [(name, aggregate per object, over objects, 0 where there is none)])
+        self.distinct: list = []  # (metric, name, what is compared)
+
+    def own(self, name: str, value: Column, where: tuple, over, zero: bool = False) -> None:
+        self.owned.append((name, value, where, over, zero))
+
+    def path(self, m: Metric, name: str, per: Column, over, zero: bool = False) -> None:
+        self.paths.setdefault((m.steps, m.where, m.func in ("MIN", "MAX")), (m, []))[1].append((name, per, over, zero))
+
+    def sets(self, m: Metric, name: str, low) -> None:
+        self.distinct.append((m, name, low))
+
+    def _rows(self, m: Metric, distinct: bool, count: bool) -> tuple[DataFrame, Column]:
+        """(src, v) of a metric's path, and what src stands for."""
+        engine, docs = self.engine, self.docs
+        if m.where:
+            docs = engine.predicates.filter(engine.frame(self.table) if docs is None else docs, self.table, And(m.where))
+        rows, ident, _ = engine.values(self.table, m.steps, docs, distinct, count)
+        return rows.withColumnRenamed("value", "v"), ident
+
+    def carried(self, keys: DataFrame) -> DataFrame:
+        """The objects with their keys, own values and sums over paths."""
+        flags: dict = {}
+        for name, value, where, _, zero in self.owned:
+            if where:
+                if where not in flags:
+                    keys, flag = self.engine.predicates.flagged(keys, self.table, And(where))
+                    flags[where] = f"__w{len(flags)}"
+                    keys = keys.withColumn(flags[where], flag)
+                value = F.when(F.col(flags[where]), value).otherwise(0) if zero else F.when(F.col(flags[where]), value)
+            keys = keys.withColumn(name, value)
+        for m, parts in self.paths.values():
+            rows, ident = self._rows(m, m.func not in ("MIN", "MAX"), all(str(per) == str(F.count(F.col("v"))) for _, per, _, _ in parts))
+            per = rows.groupBy(F.col("src").alias("__of")).agg(*(p.alias(name) for name, p, _, _ in parts))
+            keys = keys.join(per, ident == F.col("__of"), "left").drop("__of")
+            keys = keys.withColumns({name: F.coalesce(F.col(name), F.lit(0)) for name, _, _, zero in parts if zero}) if any(p[3] for p in parts) else keys
+        return keys
+
+    def grouped(self, keys: DataFrame, names: list[str], low: list[str], ident: Column, several: bool) -> DataFrame:
+        """A row for each group of the keys `low`: the names' least values, and the metrics' columns."""
+        if several:
+            keys = keys.withColumn("__id", ident).dropDuplicates(["__id", *low])
+        aggs = [F.min(n).alias(n) for n in names]
+        aggs += [over(F.col(name)).alias(name) for name, _, _, over, _ in self.owned]
+        aggs += [over(F.col(name)).alias(name) for _, parts in self.paths.values() for name, _, over, _ in parts]
+        out = keys.groupBy(*low).agg(*aggs or [F.count(F.lit(1)).alias("__n")])
+        for m, name, lower in self.distinct:
+            rows, of = self._rows(m, False, False)
+            rows = rows.select(F.col("src").alias("__of"), lower(F.col("v")).alias(name)).where(F.col(name).isNotNull())
+            per = keys.select(of.alias("__k"), *low).join(rows, F.col("__k") == F.col("__of")).groupBy(*low).agg(F.count_distinct(name).alias(name))
+            if low:
+                per = per.select(*(F.col(o).alias("__r" + o) for o in low), name)
+                out = out.join(per, reduce(lambda a, b: a & b, (F.col(o).eqNullSafe(F.col("__r" + o)) for o in low)), "left").drop(*("__r" + o for o in low))
+            else:
+                out = out.crossJoin(per)  # a row and a row
+        return out
+
+
 class Aggregates:
     def __init__(self, engine):
         self.engine = engine
 
     # -- keys
 
-    def _key(self, g: Group, table: Table, steps: tuple) -> Column:
-        """The key's expression over the table at the end of the links; an array for several keys."""
+    def _key(self, g: Group, table: Table, steps: tuple) -> tuple[Column, bool]:
+        """The key's expression over the table at the end of the links, and whether it is an array of several keys."""
         if g.func == "SETS":
-            return F.array_compact(F.array(*(F.when(self.engine.predicates.column(table, q), F.lit(n)) for q, n in g.args)))
-        if not steps or steps[0].name == "_ID":
-            return F.col("_ID")
+            return F.array_compact(F.array(*(F.when(self.engine.predicates.column(table, q), F.lit(n)) for q, n in g.args))), True
+        if not steps or steps[0].name in ("_ID", "*"):
+            return F.col("_ID"), False
         f = table.field(steps[0].name)
         c = F.col(f"`{f.name}`")
         one = lambda x: self._value(g, f, steps, x)
         if g.func == "TERMS":
             stop = [w.lower() for w in g.args[0]] if g.args else []
             words = F.flatten(F.transform(c, text.tokens)) if f.collection else text.tokens(c)
-            return F.array_distinct(F.filter(words, lambda w: ~w.isin(*stop)) if stop else words)
-        return F.array_distinct(F.transform(c, one)) if f.collection else one(c)
+            return F.array_distinct(F.filter(words, lambda w: ~w.isin(*stop)) if stop else words), True
+        return (F.array_distinct(F.transform(c, one)), True) if f.collection else (one(c), False)
 
     def _value(self, g: Group, f: Field, steps: tuple, c: Column) -> Column:
         if g.func == "BATCH":
@@ -76,176 +144,174 @@ class Aggregates:
             return F.date_trunc("SECOND", c)
         return c
 
-    def _split(self, table: Table, steps: tuple) -> tuple[tuple, tuple]:
-        """Steps over links, and those after."""
-        n, t = 0, table
-        while n < len(steps) and steps[n].name in t.fields and t.field(steps[n].name).is_link:
-            t = self.engine.app.tables[t.field(steps[n].name).table]
-            n += 1
-        return steps[:n], steps[n:]
-
-    def keys(self, table: Table, docs: DataFrame, groups: list[Group]) -> tuple[DataFrame, list[str]]:
-        """Rows (_ID, g1 .. gn): the keys of each object, null where it has none."""
-        names = [f"g{i + 1}" for i in range(len(groups))]
-        out = docs.select("_ID")
-        split = [self._split(table, g.steps) for g in groups]
-        shared = split[0][0] if len(groups) > 1 and split[0][0] and all(s[0] == split[0][0] and not g.where for s, g in zip(split, groups, strict=True)) else None
-        parts = [list(range(len(groups)))] if shared is not None else [[i] for i in range(len(groups))]
-        for part in parts:
-            links = split[part[0]][0]
-            rows, target = self.engine.follow(table, links) if links else (None, table)
-            frame = self.engine.frame(target)
-            if not links and not any(groups[i].where for i in part):
-                frame = frame.join(docs.select("_ID"), "_ID", "left_semi") if docs is not frame else frame
-            cols = []
-            for i in part:
-                k = self._key(groups[i], target, split[i][1])
-                cols.append(k.alias(names[i]))
-            frame = frame.select(F.col("_ID").alias("dst"), *cols)
-            rows = frame.withColumn("src", F.col("dst")) if rows is None else rows.join(frame, "dst")
-            for i in part:
-                if dict(rows.dtypes)[names[i]].startswith("array"):
-                    rows = rows.withColumn(names[i], F.explode_outer(names[i]))
-            if groups[part[0]].where:
-                ok = self.engine.predicates.filter(self.engine.frame(table), table, And(groups[part[0]].where)).select(F.col("_ID").alias("src"))
-                rows = rows.join(ok, "src", "left_semi")
-            # null keys stand for objects without keys only
-            cols = [names[i] for i in part]
-            rows = rows.select(F.col("src").alias("_ID"), *cols).distinct()
-            if len(part) == 1:
-                rows = rows.where(F.col(cols[0]).isNotNull())
-            out = out.join(rows, "_ID", "left")
-        return out, names
+    def keys(self, table: Table, docs: DataFrame, groups: list[Group], names: list[str], whole: bool) -> tuple[DataFrame, bool]:
+        """docs with columns `names`, an object's keys of each group, null where it has none; whether an object may have several rows."""
+        engine, out, several = self.engine, docs, False
+        paths = [engine.spread(table, g.steps) for g in groups]
+        split = [engine.split(table, p[0]) for p in paths]
+        for i, g in enumerate(groups):  # keys of the objects themselves
+            if len(paths[i]) == 1 and not split[i][0]:
+                key, many = self._key(g, table, split[i][1])
+                if many:
+                    key, several = F.explode_outer(F.filter(key, lambda x: x.isNotNull())), True
+                out = out.withColumn(names[i], key)
+        linked = [i for i in range(len(groups)) if len(paths[i]) > 1 or split[i][0]]
+        shared = len(linked) > 1 and all(len(paths[i]) == 1 and split[i][0] == split[linked[0]][0] and not groups[i].where for i in linked)
+        for part in [linked] if shared else [[i] for i in linked]:
+            parts, idents = [], []
+            for path in paths[part[0]]:
+                links, rest = engine.split(table, path)
+                rows, ident, many = engine.walk(table, links, None if whole else docs) if links else (docs, engine.key(table), False)
+                rows = rows if links else rows.withColumn("__src", ident)
+                target = engine.target(table, links)
+                for i in part:
+                    key, array = self._key(groups[i], target, engine.split(table, paths[i][0])[1] if shared else rest)
+                    rows, many = rows.withColumn(names[i], F.explode_outer(key) if array else key), many or array
+                parts.append(rows.select("__src", *(names[i] for i in part)))
+                idents.append(ident)
+            if len(parts) > 1:  # a group field: the keys of all its members
+                parts, idents, many = [p.withColumn("__src", F.col("__src").cast("string")) for p in parts], [F.col("_ID")], True
+            rows = reduce(DataFrame.union, parts)
+            if many:
+                rows = rows.distinct()
+            if len(part) == 1:  # null keys stand for objects without keys only
+                rows = rows.where(F.col(names[part[0]]).isNotNull())
+            several = several or many
+            out = out.join(rows, idents[0] == F.col("__src"), "left").drop("__src")
+        for i, g in enumerate(groups):
+            if g.where:
+                before = out.columns
+                out, flag = engine.predicates.flagged(out, table, And(g.where))
+                out = out.withColumn(names[i], F.when(flag, F.col(names[i]))).select(*(f"`{c}`" for c in before))
+        return out, several
 
     # -- metrics
 
-    def _leaf(self, table: Table, m: Metric):
-        """(rows per object, {column: how groups combine it}, the final Column)."""
-        engine = self.engine
-        n = f"m{engine.serial()}_"
-        star = not m.steps or m.steps[0].name in ("*",)
+    def _leaf(self, table: Table, m: Metric, plan: "_Plan") -> Column:
+        """The metric's final Column over a group's row; what that needs goes into the plan."""
+        engine, n = self.engine, f"__m{self.engine.serial()}"
+        star = not m.steps or m.steps[0].name == "*"
+        if star and m.func != "COUNT":
+            raise DQLError(f"{m.func} needs a field")
         if star:
-            base = engine.frame(table).select("_ID")
-            if m.where:
-                base = engine.predicates.filter(engine.frame(table), table, And(m.where)).select("_ID")
-            if m.func != "COUNT":
-                raise DQLError(f"{m.func} needs a field")
-            return base.select("_ID", F.lit(1).cast("long").alias(n + "c")), {n + "c": F.sum}, F.coalesce(F.col(n + "c"), F.lit(0))
-        values, kind = engine.values(table, m.steps), engine.value_type(table, m.steps)
-        if m.where:
-            ok = engine.predicates.filter(engine.frame(table), table, And(m.where)).select(F.col("_ID").alias("src"))
-            values = values.join(ok, "src", "left_semi")
-        v = F.col("value")
+            plan.own(n, F.lit(1), m.where, F.count)
+            return F.coalesce(F.col(n), F.lit(0))
+        paths = engine.spread(table, m.steps)
+        links, rest = engine.split(table, paths[0])
+        kind = engine.value_type(table, m.steps)
+        held = engine.held.get((table.name, links[0].name)) if len(links) == 1 and not links[0].where and not links[0].depth else None
+        own = None
+        if len(paths) == 1 and not links and (not rest or rest[0].name == "_ID" or not table.field(rest[0].name).collection):
+            own = F.col(f"`{rest[0].name}`") if rest else F.col("_ID")
+        elif len(paths) == 1 and held and not rest:
+            own = F.col(f"`{held}`")  # the link itself, held by the object
+        if m.func == "DISTINCT":
+            low = (lambda v: F.lower(v)) if kind == "TEXT" else (lambda v: v)
+            if own is not None:
+                plan.own(n, low(own), m.where, F.count_distinct)
+            else:
+                plan.sets(m, n, low)
+            return F.coalesce(F.col(n), F.lit(0))
+        many = own is None
+        v = own if own is not None else F.col("v")
         if m.roundup:
             r = m.roundup
             v = v + F.when(v % r == 0, 0).otherwise(F.lit(r) - v % r)
-        rows = values.select(F.col("src").alias("_ID"), v.alias("v"))
-        by = rows.groupBy("_ID")
-        number = kind in ("INTEGER", "LONG", "FLOAT", "DOUBLE")
+        put = lambda suffix, value, per, over, zero=False: plan.path(m, n + suffix, per(value), over, zero) if many else plan.own(n + suffix, value, m.where, over, zero)
         if m.func == "COUNT":
-            return by.agg(F.count("v").alias(n + "c")), {n + "c": F.sum}, F.coalesce(F.col(n + "c"), F.lit(0))
+            put("", v if many else F.when(v.isNotNull(), 1), F.count, F.sum if many else F.count)
+            return F.coalesce(F.col(n), F.lit(0))
+        ones = v if many else v.isNotNull().cast("long")
         if m.func in ("MINCOUNT", "MAXCOUNT"):
-            per = engine.frame(table).select("_ID").join(by.agg(F.count("v").alias("k")), "_ID", "left").select("_ID", F.coalesce("k", F.lit(0)).alias(n + "k"))
-            return per, {n + "k": F.min if m.func == "MINCOUNT" else F.max}, F.col(n + "k")
+            put("", ones, F.count, F.min if m.func == "MINCOUNT" else F.max, True)
+            return F.col(n)
         if m.func in ("MIN", "MAX"):
             f = F.min if m.func == "MIN" else F.max
             if kind == "TEXT":  # by lower case, then by the value itself
-                return by.agg(f(F.struct(F.lower("v").alias("l"), F.col("v").alias("v"))).alias(n + "s")), {n + "s": f}, F.col(n + "s")["v"]
-            return by.agg(f("v").alias(n + "s")), {n + "s": f}, F.col(n + "s")
-        if m.func == "DISTINCT":
-            low = F.lower("v") if kind == "TEXT" else F.col("v")
-            return rows.select("_ID", low.alias(n + "d")).where(F.col(n + "d").isNotNull()).distinct(), {n + "d": F.count_distinct}, F.coalesce(F.col(n + "d"), F.lit(0))
-        x = F.col("v").cast("long") if kind == "BOOLEAN" else F.unix_millis("v") if kind == "TIMESTAMP" else F.col("v").cast("double") if kind in ("FLOAT", "DOUBLE") else F.col("v").cast("long") if number else None
+                put("", F.when(v.isNotNull(), F.struct(F.lower(v).alias("l"), v.alias("v"))), f, f)
+                return F.col(n)["v"]
+            put("", v, f, f)
+            return F.col(n)
+        number = {"BOOLEAN": lambda: v.cast("long"), "TIMESTAMP": lambda: F.unix_millis(v), "FLOAT": lambda: v.cast("double"), "DOUBLE": lambda: v.cast("double"), "INTEGER": lambda: v.cast("long"), "LONG": lambda: v.cast("long")}
+        x = number[kind]() if kind in number else None
         if m.func == "SUM":
-            total = F.count("v") if x is None else F.sum(x)
-            return by.agg(total.alias(n + "t")), {n + "t": F.sum}, F.col(n + "t")
+            if x is None:
+                put("", ones, F.count, F.sum)
+            else:
+                put("", x, F.sum, F.sum)
+            return F.col(n)
         if x is None:  # the mean number of values of an object
-            per = engine.frame(table).select("_ID").join(by.agg(F.count("v").alias("k")), "_ID", "left").select("_ID", F.coalesce("k", F.lit(0)).alias(n + "t"), F.lit(1).alias(n + "c"))
-            return per, {n + "t": F.sum, n + "c": F.sum}, F.col(n + "t") / F.when(F.col(n + "c") > 0, F.col(n + "c"))
-        return by.agg(F.sum(x.cast("double")).alias(n + "t"), F.count("v").alias(n + "c")), {n + "t": F.sum, n + "c": F.sum}, F.col(n + "t") / F.when(F.col(n + "c") > 0, F.col(n + "c"))
+            put("t", ones, F.count, F.sum, True)
+            plan.own(n + "c", F.lit(1), (), F.count)
+        else:
+            put("t", x.cast("double"), F.sum, F.sum)
+            put("c", x if many else F.when(x.isNotNull(), 1), F.count, F.sum if many else F.count)
+        return F.col(n + "t") / F.when(F.col(n + "c") > 0, F.col(n + "c"))
 
-    def _expression(self, table: Table, m, leaves: list) -> Column:
+    def _expression(self, table: Table, m, plan: "_Plan") -> Column:
         if isinstance(m, Number):
             return F.lit(m.value)
         if isinstance(m, Binary):
-            a, b = self._expression(table, m.left, leaves).cast("double"), self._expression(table, m.right, leaves).cast("double")
+            a, b = self._expression(table, m.left, plan).cast("double"), self._expression(table, m.right, plan).cast("double")
             return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: F.when(b != 0, a / b)}[m.op]()
-        leaf = self._leaf(table, m)
-        leaves.append(leaf)
-        return leaf[2]
-
-    def run(self, table: Table, docs: DataFrame, groups: list[Group], metrics: list, level: int | None = None, composite: bool = False, flat: int | None = None) -> DataFrame:
-        """Rows of one level (the deepest by default): its keys and metrics."""
-        level = len(groups) if level is None else level
-        leaves: list = []
-        finals = [(self._expression(table, m, leaves), name) for m, name in metrics]
-        groups = groups[:level]
-        if groups:
-            keys, names = self.keys(table, docs, groups)
-            if composite:
-                keys = keys.select("_ID", names[-1])
-                names = names[-1:]
-            merged = {n: self._text_key(table, g) for n, g in zip(names, groups[-len(names) :], strict=True)}
-            by = [F.lower(n).alias("l_" + n) if merged[n] else F.col(n).alias("l_" + n) for n in names]
-            keys = keys.select("_ID", *names, *by).dropDuplicates(["_ID", *("l_" + n for n in names)])
-        else:
-            keys, names = docs.select("_ID"), []
-        on = ["l_" + n for n in names]
-        together = [x for x in leaves if F.count_distinct not in x[1].values()]
-        joined, aggs = keys, [F.min(n).alias(n) for n in names] + [F.count(F.lit(1)).alias("__n")]
-        for rows, how, _ in together:
-            if any(isinstance(m, Metric) and (not m.steps or m.steps[0].name == "*") and not m.where for m, _ in metrics) and len(rows.columns) == 2 and rows.columns[1].endswith("c") and len(together) == 1 and len(metrics) == 1:
-                joined = joined.withColumn(rows.columns[1], F.lit(1).cast("long"))  # COUNT(*) alone needs no join
-            else:
-                joined = joined.join(rows, "_ID", "left")
-            aggs += [f(c).alias(c) for c, f in how.items()]
-        out = joined.groupBy(*on).agg(*aggs)
-        for rows, how, _ in leaves:
-            if F.count_distinct in how.values():
-                c = next(iter(how))
-                per = keys.join(rows, "_ID").groupBy(*on).agg(F.count_distinct(c).alias(c))
-                out = out.join(per.select(*(F.col(o).alias("r_" + o) for o in on), c), [F.col(o).eqNullSafe(F.col("r_" + o)) for o in on], "left").drop(*("r_" + o for o in on)) if on else out.crossJoin(per)
-        out = out.select(*names, *on, *(c.alias(n) for c, n in finals))
-        metric = finals[0][1] if finals else None
-        for i, (n, g) in enumerate(zip(names, groups[-len(names) :] if names else [], strict=True)):
-            if g.pick:
-                out = self._pick(out, on, i, g, metric, n)
-        for n, g in zip(names, groups[-len(names) :] if names else [], strict=True):
+        return self._leaf(table, m, plan)
+
+    def run(self, table: Table, ways: list[tuple[DataFrame, list[Group]]], metrics: list, level: int | None = None, composite: bool = False, flat: int | None = None, whole: bool = False) -> DataFrame:
+        """Rows of one level (the deepest by default): its keys and metrics.
+
+        ways: the selected objects and the groups; several where a pair of links is taken in either order. whole: all of the table's objects.
+        """
+        groups = ways[0][1]
+        groups = groups[: len(groups) if level is None else level]
+        names = [f"__g{i + 1}" for i in range(len(groups))]
+        found, several = [], len(ways) > 1
+        for docs, its in ways:
+            k, many = self.keys(table, docs, list(its[: len(groups)]), names, whole)
+            found.append(k)
+            several = several or many
+        keys = reduce(DataFrame.union, found)
+        if composite:
+            groups, names, several = groups[-1:], names[-1:], True
+        low = ["__l" + n for n in names]
+        keys = keys.withColumns({o: F.lower(n) if self._text_key(table, g) else F.col(n) for o, n, g in zip(low, names, groups, strict=True)})
+        plan = _Plan(self.engine, table, None if whole else ways[0][0] if len(ways) == 1 else keys)
+        finals = [(self._expression(table, m, plan), name) for m, name in metrics]
+        keys = plan.carried(keys)
+        ident = self.engine.key(table)
+        out = plan.grouped(keys, names, low, ident, several).select(*names, *low, *(c.alias(n) for c, n in finals))
+        for i, (o, g) in enumerate(zip(low, groups, strict=True)):
+            if g.pick and g.n > 0:
+                parents = out if i == len(low) - 1 else plan.grouped(keys, names[: i + 1], low[: i + 1], ident, several).select(*low[: i + 1], finals[0][0].alias(finals[0][1]))
+                out = self._pick(out, parents, low[: i + 1], g, finals[0][1], i == len(low) - 1)
+        for n, g in zip(names, groups, strict=True):
             out = self._shown(out, n, g)
-        if flat is not None and metric:
-            out = out.orderBy(F.desc_nulls_last(metric), *(F.asc_nulls_first(o) for o in on)).limit(flat)
-        out = out.drop(*on)
-        for n, g in zip(names, groups[-len(names) :] if names else [], strict=True):
-            if g.alias:
-                out = out.withColumnRenamed(n, g.alias)
-        return out
+        if flat is not None and finals:
+            out = out.orderBy(F.desc_nulls_last(f"`{finals[0][1]}`"), *(F.asc_nulls_first(o) for o in low)).limit(flat)
+        first = len(ways[0][1][: level]) - len(groups)
+        return out.select(*(F.col(n).alias(g.alias or f"g{first + i + 1}") for i, (n, g) in enumerate(zip(names, groups, strict=True))), *(f"`{n}`" for _, n in finals))
 
     def _text_key(self, table: Table, g: Group) -> bool:
         """Whether groups merge without regard to case."""
         if g.func in ("TERMS", "SETS", "BATCH", "TRUNCATE") or not g.steps or len(g.steps) and g.steps[-1].name in ("_ID", *DATE_PARTS):
             return False
-        links, rest = self._split(table, g.steps)
+        links, rest = self.engine.split(table, self.engine.spread(table, g.steps)[0])
         if not rest:
             return False
         t = self.engine.target(table, links)
         return t.field(rest[0].name).type == "TEXT"
 
-    def _pick(self, out: DataFrame, on: list[str], i: int, g: Group, metric: str, n: str) -> DataFrame:
-        """TOP and BOTTOM by the first metric, FIRST and LAST by key; on deeper levels for each parent."""
-        order = {"TOP": [F.desc_nulls_last("__m"), F.asc_nulls_first("l_" + n)], "BOTTOM": [F.asc_nulls_last("__m"), F.asc_nulls_first("l_" + n)], "FIRST": [F.asc_nulls_first("l_" + n)], "LAST": [F.desc_nulls_last("l_" + n)]}[g.pick]
-        if g.n <= 0:
-            return out
-        if len(on) == 1:
-            return out.withColumn("__m", F.col(f"`{metric}`")).orderBy(*order).limit(g.n).drop("__m")
-        upto = on[: i + 1]
-        ranked = out.groupBy(*upto).agg(F.sum(F.col(f"`{metric}`")).alias("__m"))
-        w = Window.partitionBy(*upto[:-1]).orderBy(*order) if i else Window.orderBy(*order)
-        best = ranked.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= g.n).select(*(F.col(u).alias("b_" + u) for u in upto))
-        cond = None
-        for u in upto:
-            c = F.col(u).eqNullSafe(F.col("b_" + u))
-            cond = c if cond is None else cond & c
-        return out.join(best, cond, "left_semi")
+    def _pick(self, out: DataFrame, parents: DataFrame, upto: list[str], g: Group, metric: str, last: bool) -> DataFrame:
+        """TOP and BOTTOM by the first metric, FIRST and LAST by key, of a level's groups (parents) for each group above; on levels above the last, by the groups' own metric."""
+        m, key = F.col(f"`{metric}`"), upto[-1]
+        order = {"TOP": [m.desc_nulls_last(), F.asc_nulls_first(key)], "BOTTOM": [m.asc_nulls_last(), F.asc_nulls_first(key)], "FIRST": [F.asc_nulls_first(key)], "LAST": [F.desc_nulls_last(key)]}[g.pick]
+        if len(upto) == 1:
+            best = parents.orderBy(*order).limit(g.n)
+        else:
+            best = parents.withColumn("__r", F.row_number().over(Window.partitionBy(*upto[:-1]).orderBy(*order))).where(F.col("__r") <= g.n).drop("__r")
+        if last:
+            return best
+        best = best.select(*(F.col(u).alias("__b" + u) for u in upto))
+        return out.join(best, reduce(lambda a, b: a & b, (F.col(u).eqNullSafe(F.col("__b" + u)) for u in upto)), "left_semi")
 
     def _shown(self, out: DataFrame, n: str, g: Group) -> DataFrame:
         for values, keep in ((g.include, True), (g.exclude, False)):

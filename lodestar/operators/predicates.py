@@ -1,7 +1,8 @@
 """Queries as DataFrame plans. Logic is two-valued: a leaf is never null, so NOT includes objects without values.
 
 Conjuncts on links become left-semi or left-anti joins; links under OR or NOT become a flag by a left join with distinct ids (an
-existence join). Scalar conjuncts are plain filters, which reach the scan.
+existence join). A link that a table holds as a foreign key is joined on that column; of one that the other table holds, that
+table's filtered foreign keys are the ids. Scalar conjuncts are plain filters, which reach the scan.
 """
 
 from __future__ import annotations
@@ -84,8 +85,8 @@ def scalar(f: Field, clause: Clause, quant: str = "ANY") -> Column:
     return ~test(c) if quant == "NONE" else test(c)
 
 
-def id_clause(clause: Clause) -> Column:
-    c = F.col("_ID")
+def id_clause(clause: Clause, c: Column | None = None) -> Column:
+    c = F.col("_ID") if c is None else c
     if clause.op == "=":
         return c == clause.value
     if clause.op == "in":
@@ -122,12 +123,14 @@ class Predicates:
         q = self._rewritten(table, q)
         if isinstance(q, (And, Everything)) or self._plain(table, q):
             return self.filter(df, table, q)
-        if isinstance(q, Not) and not isinstance(self._rewritten(table, q.part), (And, Or, Not)) and not self._plain(table, q.part):
-            return df.join(self.ids(table, self._rewritten(table, q.part)), "_ID", "left_anti")
-        if not isinstance(q, (Or, Not)):
-            return df.join(self.ids(table, q), "_ID", "left_semi")
+        anti = False
+        while isinstance(q, Not):
+            q, anti = self._rewritten(table, q.part), not anti
+        if not isinstance(q, (And, Or)) and not self._plain(table, q):
+            on, ids, without = self.hits(table, q)
+            return df.join(ids.select(F.col("_ID").alias("__hit")), on == F.col("__hit"), "left_anti" if anti != without else "left_semi")
         before = df.columns
-        df, flag = self.flagged(df, table, q)
+        df, flag = self.flagged(df, table, Not(q) if anti else q)
         return df.where(flag).select(*(f"`{c}`" for c in before))
 
     def flagged(self, df: DataFrame, table: Table, q) -> tuple[DataFrame, Column]:
@@ -149,8 +152,12 @@ class Predicates:
             return df, ~f
         if self._plain(table, q):
             return df, self.column(table, q)
-        name = f"__has{self.engine.serial()}"
-        return df.join(self.ids(table, q).withColumn(name, F.lit(True)), "_ID", "left"), F.coalesce(F.col(name), F.lit(False))
+        n = self.engine.serial()
+        on, ids, without = self.hits(table, q)
+        ids = ids.select(F.col("_ID").alias(f"__hit{n}")).distinct().withColumn(f"__has{n}", F.lit(True))
+        df = df.join(ids, on == F.col(f"__hit{n}"), "left").drop(f"__hit{n}")
+        flag = F.coalesce(F.col(f"__has{n}"), F.lit(False))
+        return df, ~flag if without else flag
 
     # -- queries without links
 
@@ -162,6 +169,15 @@ class Predicates:
             return table.field(steps[0].name)
         return None
 
+    def _own_link(self, table: Table, q: Clause) -> Column | None:
+        """The foreign key that a clause on a link itself (its id, or whether it has one) needs alone."""
+        s = q.steps[0]
+        column = self.engine.held.get((table.name, s.name))
+        if column is None or s.where or s.depth or s.quant != "ANY":
+            return None
+        alone = len(q.steps) == 1 and q.op in ("=", "in", "range", "null")
+        return F.col(f"`{column}`") if alone or (q.op == "exists" and q.steps[1].name == "*") else None
+
     def _plain(self, table: Table, q) -> bool:
         if isinstance(q, (And, Or)):
             return all(self._plain(table, p) for p in q.parts)
@@ -170,7 +186,7 @@ class Predicates:
         if isinstance(q, (Everything, Nothing)):
             return True
         if isinstance(q, Clause):
-            if not q.steps or q.steps[0].name == "_ID":
+            if not q.steps or q.steps[0].name == "_ID" or self._own_link(table, q) is not None:
                 return True
             f = self._field(table, q.steps)
             return f is not None and f.type != "GROUP"
@@ -206,6 +222,10 @@ class Predicates:
             return out
         if q.steps[0].name == "_ID":
             return sure(id_clause(q))
+        if (key := self._own_link(table, q)) is not None:
+            if q.op in ("null", "exists"):
+                return key.isNull() if q.op == "null" else key.isNotNull()
+            return sure(id_clause(q, key.cast("string")))
         f = self._field(table, q.steps)
         if len(q.steps) == 2:
             if q.op not in ("=", ":", "in"):
@@ -231,62 +251,75 @@ class Predicates:
                 if s.quant == "NONE":
                     return Not(Clause((Step(s.name, "ANY", s.where, s.depth), *rest), q.op, q.value))
                 if s.quant == "ALL":
-                    any_ = Clause((Step(s.name, "ANY", s.where, s.depth), Step("*")), "exists")
-                    return And((any_, Not(("not", Step(s.name, "ANY", s.where, s.depth), Clause(rest, q.op, q.value)))))
+                    return ("all", Step(s.name, "ANY", s.where, s.depth), Clause(rest, q.op, q.value) if rest else Clause((Step("_ID"),), q.op, q.value))
         return q
 
-    def ids(self, table: Table, q) -> DataFrame:
-        """Distinct _IDs of a table's objects for which a clause with links holds."""
-        if isinstance(q, tuple):  # some linked object fails the clause
-            _, s, inner = q
-            edges, target = self.engine.hop(table, s)
-            return edges.join(self.filter(self.engine.frame(target), target, Not(inner)).select(F.col("_ID").alias("dst")), "dst", "left_semi").select(F.col("src").alias("_ID")).distinct()
+    def hits(self, table: Table, q) -> tuple[Column, DataFrame, bool]:
+        """(a column of the table, values for it as _ID, not always distinct, whether the query holds where it has none of them)."""
         if isinstance(q, Count):
             return self._count(table, q)
         if isinstance(q, PathSets):
             return self._sets(table, q)
-        s, rest = q.steps[0], q.steps[1:]
+        engine = self.engine
+        every = isinstance(q, tuple)
+        s, rest, clause = (q[1], (), q[2]) if every else (q.steps[0], q.steps[1:], q)
         if not table.field(s.name).is_link:
             raise DQLError(f"{s.name} is not a link of {table.name}")
-        edges, target = self.engine.hop(table, s)
+        target = engine.target(table, (s,))
+        held, there = engine.held.get((table.name, s.name)), engine.held_there.get((table.name, s.name))
+        if every and not (held and not s.depth):  # all linked objects take the clause
+            rows, ident, _ = engine.walk(table, (s,), distinct=False)
+            rows, flag = self.flagged(rows, target, clause)
+            per = rows.groupBy("__src").agg(F.bool_and(flag).alias("all"))
+            return ident, per.where("all").select(F.col("__src").alias("_ID")), False
+        inner = self._inner(rest, clause, every)
+        if held and not s.depth:
+            return engine.reference(held, target), self.filter(engine.taken(s, target), target, inner or Everything()).select(engine.key(target).alias("_ID")), False
+        if there and not s.depth:
+            rows = self.filter(engine.taken(s, target), target, inner or Everything())
+            return engine.key(table), rows.select(engine.reference(there, table).alias("_ID")).where("_ID is not null").distinct(), False
+        rows, ident, _ = engine.walk(table, (s,), distinct=False, ids=inner is None or rest == ())
+        return ident, self.filter(rows, target, inner or Everything()).select(F.col("__src").alias("_ID")).distinct(), False
+
+    @staticmethod
+    def _inner(rest: tuple, q: Clause, every: bool):
+        """The clause on the linked objects; None if any linked object will do."""
+        if every:
+            return q
         if not rest:
-            if q.op == "=":
-                edges = edges.where(F.col("dst") == q.value)
-            elif q.op == "in":
-                edges = edges.where(F.col("dst").isin(*q.value))
-            elif q.op == "range":
-                edges = edges.withColumnRenamed("dst", "_ID").where(id_clause(Clause((Step("_ID"),), "range", q.value)))
-            else:
-                raise DQLError(f"link {s.name} takes ids")
-        elif q.op != "exists":
-            inner = self.filter(self.engine.frame(target), target, Clause(rest, q.op, q.value))
-            edges = edges.join(inner.select(F.col("_ID").alias("dst")), "dst", "left_semi")
-        elif rest[0].name != "*":
-            edges = edges.join(self.filter(self.engine.frame(target), target, Clause(rest, "exists")).select(F.col("_ID").alias("dst")), "dst", "left_semi")
-        return edges.select(F.col("src").alias("_ID")).distinct()
-
-    def _count(self, table: Table, q: Count) -> DataFrame:
-        values = self.engine.values(table, q.steps)
+            if q.op not in ("=", "in", "range"):
+                raise DQLError("links take ids")
+            return Clause((Step("_ID"),), q.op, q.value)
+        if q.op == "exists" and rest[0].name == "*":
+            return None
+        return Clause(rest, q.op, q.value)
+
+    def _count(self, table: Table, q: Count) -> tuple[Column, DataFrame, bool]:
+        values, ident, _ = self.engine.values(table, q.steps, distinct=not q.distinct, count=not q.distinct)
         n = F.count_distinct("value") if q.distinct else F.count("value")
         counts = values.groupBy(F.col("src").alias("_ID")).agg(n.alias("n"))
-        if self._zero(q.test):  # objects without links count too
-            counts = self.engine.frame(table).select("_ID").join(counts, "_ID", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        return counts.where(in_range(F.col("n"), q.test, Field("n", "LONG"))).select("_ID")
+        fits, zero = in_range(F.col("n"), q.test, Field("n", "LONG")), self._zero(q.test)  # objects without links count too
+        return ident, counts.where(~fits if zero else fits).select("_ID"), zero
 
     @staticmethod
     def _zero(r: Range) -> bool:
         low = r.low is None or int(r.low) < 0 or (int(r.low) == 0 and r.low_in)
         return low and (r.high is None or int(r.high) > 0 or (int(r.high) == 0 and r.high_in))
 
-    def _sets(self, table: Table, q: PathSets) -> DataFrame:
-        """Set comparison per object, by counts of shared and unshared values. Two empty sets intersect."""
-        a = self.engine.values(table, q.left).where("value is not null").distinct().withColumn("l", F.lit(1)).withColumn("r", F.lit(0))
-        b = self.engine.values(table, q.right).where("value is not null").distinct().withColumn("l", F.lit(0)).withColumn("r", F.lit(1))
-        per = a.union(b).groupBy("src", "value").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    def _sets(self, table: Table, q: PathSets) -> tuple[Column, DataFrame, bool]:
+        """Set comparison per object, by counts of shared and unshared values. Two empty sets intersect, are equal, and one holds the other."""
+        parts, idents = [], []
+        for path, is_left in ((q.left, 1), (q.right, 0)):
+            rows, ident, _ = self.engine.values(table, path, distinct=False)
+            idents.append(str(ident))
+            parts.append(rows.where("value is not null").select("src", "value", F.lit(is_left).alias("l"), F.lit(1 - is_left).alias("r")))
+        if len(set(idents)) > 1:  # keys' texts are _IDs
+            ident, parts = F.col("_ID"), [p.withColumn("src", F.col("src").cast("string")) for p in parts]
+        per = parts[0].union(parts[1]).groupBy("src", "value").agg(F.max("l").alias("l"), F.max("r").alias("r"))
         per = per.groupBy(F.col("src").alias("_ID")).agg(F.sum(F.col("l") * F.col("r")).alias("both"), F.sum("l").alias("l"), F.sum("r").alias("r"))
-        zero = lambda c: F.coalesce(c, F.lit(0))
-        per = self.engine.frame(table).select("_ID").join(per, "_ID", "left").select("_ID", zero("both").alias("both"), zero("l").alias("l"), zero("r").alias("r"))
         same = (F.col("l") == F.col("both")) & (F.col("r") == F.col("both"))
-        meet = (F.col("both") > 0) | ((F.col("l") == 0) & (F.col("r") == 0))
-        holds = (F.col("both") == F.col("r")) & ((F.col("r") > 0) | (F.col("l") == 0))
-        return per.where({"EQUALS": same, "DIFFERS": ~same, "INTERSECTS": meet, "DISJOINT": ~meet, "CONTAINS": holds}[q.kind]).select("_ID")
+        meet = F.col("both") > 0
+        holds = (F.col("both") == F.col("r")) & (F.col("r") > 0)
+        test = {"EQUALS": same, "DIFFERS": ~same, "INTERSECTS": meet, "DISJOINT": ~meet, "CONTAINS": holds}[q.kind]
+        empty = q.kind in ("EQUALS", "INTERSECTS", "CONTAINS")  # objects without any values take these
+        return ident, per.where(~test if empty else test).select("_ID"), empty

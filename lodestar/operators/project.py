@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ast import And, Output
+from ..plans.ast import Output, Step
 from ..plans.schema import Table
 
 
@@ -17,22 +17,25 @@ class Projection:
         """By the keys' sorted values, text without regard to case; objects without values first going up, last going down; then by _ID."""
         keys, before = [], df.columns
         for i, (steps, down) in enumerate(orders):
-            links, rest = self.engine.aggregates._split(table, steps)
+            links, rest = self.engine.split(table, steps)
             kind, name = self.engine.value_type(table, steps), f"__o{i}"
             if not links and rest and rest[0].name != "_ID" and not table.field(rest[0].name).collection:
                 c = F.col(f"`{rest[0].name}`")
                 df = df.withColumn(name, F.lower(c) if kind == "TEXT" else c)
             else:
                 v = F.lower("value") if kind == "TEXT" else F.col("value")
-                # a descending key is led by the largest value
-                per = self.engine.values(table, steps).where("value is not null").groupBy(F.col("src").alias("_ID")).agg(F.sort_array(F.collect_set(v), not down).alias(name))
-                df = df.join(per, "_ID", "left")
+                rows, ident, many = self.engine.values(table, steps, df)
+                rows = rows.where("value is not null").select(F.col("src").alias("__s"), v.alias(name))
+                if many:  # a descending key is led by the largest value
+                    rows = rows.groupBy("__s").agg(F.sort_array(F.collect_set(name), not down).alias(name))
+                df = df.join(rows, ident == F.col("__s"), "left").drop("__s")
             keys.append(F.desc_nulls_last(name) if down else F.asc_nulls_first(name))
         return df.orderBy(*keys, "_ID").select(*(f"`{c}`" for c in before))
 
-    def select(self, df: DataFrame, table: Table, outputs: tuple) -> DataFrame:
+    def select(self, df: DataFrame, table: Table, outputs: tuple, docs: DataFrame | None = None, keep: tuple = ()) -> DataFrame:
+        """The fields of df's objects, and its columns in `keep`. docs: the objects that linked ones are wanted for, if not all of the table's."""
         shard = ["_shard"] if "_shard" in df.columns else []
-        cols, links = [], []
+        cols, links, key = [], [], self.engine.key(table)
         for o in self._expanded(table, outputs):
             if o.name == "_ID":
                 continue
@@ -42,15 +45,32 @@ class Projection:
             else:
                 c = F.col(f"`{f.name}`")
                 cols.append((F.sort_array(c) if f.collection else c).alias(o.alias or o.name))
-        out = df.select("_ID", *shard, *cols)
+        out = df.select("_ID", *shard, *cols, *keep, *([key.alias("__key")] if links else []))
         for o in links:
-            rows, names = self._linked(table, o)
-            fields = F.struct(*(F.col(f"`{n}`") for n in names)) if len(names) > 1 or o.inner else F.col("_ID")
-            got = rows.groupBy("src").agg(F.sort_array(F.collect_list(fields)).alias(o.alias or o.name))
-            if o.limit is not None:
-                got = got.withColumn(o.alias or o.name, F.slice(F.col(f"`{o.alias or o.name}`"), 1, o.limit) if o.limit else F.col(f"`{o.alias or o.name}`"))
-            out = out.join(got.withColumnRenamed("src", "_ID"), "_ID", "left")
-        return out
+            name = o.alias or o.name
+            held = (table.name, o.name) in self.engine.held or (table.name, o.name) in self.engine.held_there
+            out = out.join(self._linked(table, o, docs, name), F.col("__key" if held else "_ID") == F.col("__of"), "left").drop("__of")
+        return out.drop("__key")
+
+    def _linked(self, table: Table, o: Output, docs: DataFrame | None, name: str) -> DataFrame:
+        """__of and an array of the objects that each object's link holds, in order, at most the limit.
+
+        With a limit, rows are ranked and cut before they are collected: no more than the limit's ever meet.
+        """
+        target, inner = self.engine.app.tables[table.field(o.name).table], None
+        # several filters, as in Items.WHERE(..).WHERE(..), all hold
+        rows, _, _ = self.engine.walk(table, (Step(o.name, where=tuple(o.where)),), docs)
+        if docs is not None or o.where:
+            key = self.engine.key(target)
+            inner = self.engine.frame(target).join(rows.select(key.alias("__in")), key == F.col("__in"), "left_semi")
+        rows = self.select(rows, target, o.inner or (Output("_ID"),), inner, ("__src",))
+        names = [c for c in rows.columns if c != "__src"]
+        fields = F.struct(*(F.col(f"`{n}`") for n in names)) if len(names) > 1 or o.inner else F.col("_ID")
+        rows = rows.select(F.col("__src").alias("__of"), fields.alias("__row"))
+        if o.limit:
+            rank = F.row_number().over(Window.partitionBy("__of").orderBy("__row"))
+            rows = rows.withColumn("__rank", rank).where(F.col("__rank") <= o.limit)
+        return rows.groupBy("__of").agg(F.sort_array(F.collect_list("__row")).alias(name))
 
     def _expanded(self, table: Table, outputs: tuple) -> list[Output]:
         out = []
@@ -64,12 +84,3 @@ class Projection:
             else:
                 out.append(o)
         return out
-
-    def _linked(self, table: Table, o: Output) -> tuple[DataFrame, list[str]]:
-        target = self.engine.app.tables[table.field(o.name).table]
-        frame = self.engine.frame(target)
-        if o.where:
-            frame = self.engine.predicates.filter(frame, target, And(o.where))
-        rows = self.select(frame, target, o.inner or (Output("_ID"),))
-        edges = self.engine.edges(table, o.name).select("src", F.col("dst").alias("_ID"))
-        return edges.join(rows, "_ID"), rows.columns

@@ -26,7 +26,8 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
         if name == "Turn":
             id_ = F.concat_ws("-", "conv_id", "turn")
         elif key is None:
-            id_ = F.sha2(F.concat_ws("|", *df.columns), 256)
+            # no column tells items apart: two hashes of all of them, made only where the _ID itself is asked for
+            id_ = F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(seed), *df.columns)), 16, "0") for seed in (1, 2)))
         else:
             id_ = F.col(key).cast("string")
         frames[name] = df.withColumn("_ID", id_)
@@ -34,14 +35,14 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     for t, name, fk, target, inverse in LINKS:
         app.tables[t].fields[name] = Field(name, "LINK", False, target, inverse)
         app.tables[target].fields[inverse] = Field(inverse, "LINK", True, t, name)
-        links[t, name] = frames[t].select(F.col("_ID").alias("src"), F.col(fk).cast("string").alias("dst"))
+        links[t, name] = fk
     app.tables["Event"].fields["User"] = Field("User", "XLINK", False, "Customer", "Events", "user_id")
     app.tables["Customer"].fields["Events"] = Field("Events", "XLINK", True, "Event", "User", "_ID")
     app.tables["Turn"].fields["Before"] = Field("Before", "LINK", False, "Turn", "After")
     app.tables["Turn"].fields["After"] = Field("After", "LINK", True, "Turn", "Before")
     before = F.concat_ws("-", "conv_id", F.col("turn") - 1)
     links["Turn", "Before"] = frames["Turn"].where("turn > 0").select(F.col("_ID").alias("src"), before.alias("dst"))
-    return Engine(spark, app, frames, links, CLOCK)
+    return Engine(spark, app, frames, links, CLOCK, {name: key for name, _, key in TABLES if key})
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -174,6 +174,25 @@ class Engine:
             t = target
         return rows, ident, many
 
+    def looks_up(self, table: Table, steps: tuple) -> bool:
+        """Whether a path leads over foreign keys that each object holds itself, so to one object at most."""
+        for s in steps:
+            if s.depth or (table.name, s.name) not in self.held:
+                return False
+            table = self.target(table, (s,))
+        return bool(steps)
+
+    def lookup(self, table: Table, steps: tuple, columns: dict[str, Column]) -> tuple[DataFrame, Column]:
+        """For such a path: (__k, columns over its last table), and the table's foreign key to join with __k, which is unique."""
+        s, target = steps[0], self.target(table, steps[:1])
+        rows = self.taken(s, target)
+        if len(steps) == 1:
+            sub = rows.select(self.key(target).alias("__k"), *(c.alias(n) for n, c in columns.items()))
+        else:
+            inner, ref = self.lookup(target, steps[1:], columns)
+            sub = rows.select(self.key(target).alias("__k"), ref.alias("__f")).join(inner.withColumnRenamed("__k", "__to"), F.col("__f") == F.col("__to")).select("__k", *columns)
+        return sub, self.reference(self.held[table.name, s.name], target)
+
     def values(self, table: Table, steps: tuple, docs: DataFrame | None = None, distinct: bool = True, count: bool = False) -> tuple[DataFrame, Column, bool]:
         """(src, value) of a path's values, of each linked object once; what src stands for; whether an object may have several.
 
@@ -227,10 +246,14 @@ class Engine:
         two = self.select(table, q.replace("_pair.first", b).replace("_pair.second", a))
         return one.union(two).dropDuplicates(["_ID"])
 
-    def query(self, table: str, q: str = "*", f: str = "*", o: str | None = None, s: int | None = None, k: int = 0, e: str | None = None, g: str | None = None, m: str | None = None, **scope) -> DataFrame:
-        """An object query: q query, f fields, o order, s page size (0: all), k skipped, e or g the id to go on at or after, m metrics."""
+    def query(self, table: str, q: str = "*", f: str = "*", o: str | None = None, s: int | None = None, k: int = 0, e: str | None = None, g: str | None = None, m: str | None = None, total: bool = False, **scope) -> DataFrame:
+        """An object query: q query, f fields, o order, s page size (0: all), k skipped, e or g the id to go on at or after, m metrics.
+
+        total: a column _total says how many objects the query takes in all, wherever the page begins.
+        """
         t = self.table(table)
         df = self.select(table, q, **scope)
+        count = df.agg(F.count(F.lit(1)).alias("_total"))
         if (e or g) and o:
             raise DQLError("continuation goes by id, without an order")
         if e:
@@ -247,7 +270,7 @@ class Engine:
         if m:
             per = self.aggregates.run(t, [(df, Parser("_ID AS _mid").groups())], self.parser(t, m).metrics())
             out = out.join(per, F.col("_ID") == F.col("_mid"), "left").drop("_mid")
-        return out
+        return out.crossJoin(F.broadcast(count)) if total else out  # one row
 
     def count(self, table: str, q: str = "*", **scope) -> DataFrame:
         return self.select(table, q, **scope).agg(F.count(F.lit(1)).alias("count"))
@@ -266,7 +289,7 @@ class Engine:
         for i, groups in enumerate(zip(*sets, strict=True)):
             out = self.aggregates.run(t, list(zip(docs, groups, strict=True)), metrics, level, flat=flat, whole=q == "*" and not scope and pair is None)
             if empty and len(groups[0]) == 1:
-                out = self.aggregates.with_empty(out, groups[0][0])
+                out = self.aggregates.with_empty(t, out, groups[0][0])
             outs.append(out.withColumn("_set", F.lit(i)) if len(sets[0]) > 1 else out)
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), outs)
 

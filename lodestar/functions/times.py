@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from datetime import datetime, timedelta, timezone
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 UNITS = ("SECOND", "MINUTE", "HOUR", "DAY", "WEEK", "MONTH", "QUARTER", "YEAR")
 _STEP = {"SECOND": timedelta(seconds=1), "MINUTE": timedelta(minutes=1), "HOUR": timedelta(hours=1), "DAY": timedelta(days=1), "WEEK": timedelta(weeks=1)}
@@ -18,7 +18,10 @@ def zone(text: str | None):
     if m:
         t = timedelta(hours=int(m[2]), minutes=int(m[3] or 0))
         return timezone(-t if m[1] == "-" else t)
-    return ZoneInfo(text)
+    try:
+        return ZoneInfo(text)
+    except (ZoneInfoNotFoundError, ValueError, OSError):
+        raise ValueError(f"unknown zone {text}") from None
 
 
 def zone_name(text: str | None) -> str:
@@ -88,6 +91,13 @@ def period(name: str, z: str, clock: datetime, n: int = 1) -> tuple[datetime, da
     return start, add(start, 1, unit), False
 
 
+def frequency(text: str) -> timedelta:
+    """An interval such as "1 HOUR" or "30 MINUTES"."""
+    n, unit = text.split()
+    unit = unit.upper().rstrip("S")
+    return int(n) * (_STEP[unit] if unit in _STEP else {"MONTH": timedelta(days=30), "YEAR": timedelta(days=365)}[unit])
+
+
 def datediff(unit: str, a: datetime, b: datetime) -> int:
     """b - a: months, quarters and years by the calendar's fields, others by their length, towards zero."""
     unit = unit.upper().rstrip("S")

@@ -42,7 +42,10 @@ def _batches(c: Column, f: Field, bounds: tuple) -> Column:
     return F.when(c.isNotNull(), out)
 
 
-def batch_labels(bounds: tuple) -> list[str]:
+def batch_labels(bounds: tuple, close: bool = False) -> list[str]:
+    """Names of the bins; those of times and texts are written close."""
+    if close:
+        return [f"<{bounds[0]}", *(f"{a}-{b}" for a, b in zip(bounds, bounds[1:], strict=False)), f">={bounds[-1]}"]
     return [f"< {bounds[0]}", *(f"{a} - {b}" for a, b in zip(bounds, bounds[1:], strict=False)), f">= {bounds[-1]}"]
 
 
@@ -54,6 +57,7 @@ class _Plan:
         self.owned: list = []  # (name, value, where, aggregate, 0 where there is none)
         self.paths: dict = {}  # (steps, where): (metric, [(name, aggregate per object, over objects, 0 where there is none)])
         self.distinct: list = []  # (metric, name, what is compared)
+        self.looked: dict = {}  # (links, field): name
 
     def own(self, name: str, value: Column, where: tuple, over, zero: bool = False) -> None:
         self.owned.append((name, value, where, over, zero))
@@ -61,6 +65,9 @@ class _Plan:
     def path(self, m: Metric, name: str, per: Column, over, zero: bool = False) -> None:
         self.paths.setdefault((m.steps, m.where, m.func in ("MIN", "MAX")), (m, []))[1].append((name, per, over, zero))
 
+    def look(self, links: tuple, field: str) -> Column:
+        return F.col(self.looked.setdefault((links, field), f"__v{len(self.looked)}"))
+
     def sets(self, m: Metric, name: str, low) -> None:
         self.distinct.append((m, name, low))
 
@@ -75,6 +82,9 @@ class _Plan:
     def carried(self, keys: DataFrame) -> DataFrame:
         """The objects with their keys, own values and sums over paths."""
         flags: dict = {}
+        for (links, field), name in self.looked.items():
+            sub, ref = self.engine.lookup(self.table, links, {name: F.col(f"`{field}`")})
+            keys = keys.join(sub, ref == F.col("__k"), "left").drop("__k")
         for name, value, where, _, zero in self.owned:
             if where:
                 if where not in flags:
@@ -127,7 +137,7 @@ class Aggregates:
         one = lambda x: self._value(g, f, steps, x)
         if g.func == "TERMS":
             stop = [w.lower() for w in g.args[0]] if g.args else []
-            words = F.flatten(F.transform(c, text.tokens)) if f.collection else text.tokens(c)
+            words = F.flatten(F.transform(c, lambda x: text.analyzed(x, f.analyzer))) if f.collection else text.analyzed(c, f.analyzer)
             return F.array_distinct(F.filter(words, lambda w: ~w.isin(*stop)) if stop else words), True
         return (F.array_distinct(F.transform(c, one)), True) if f.collection else (one(c), False)
 
@@ -158,6 +168,17 @@ class Aggregates:
         linked = [i for i in range(len(groups)) if len(paths[i]) > 1 or split[i][0]]
         shared = len(linked) > 1 and all(len(paths[i]) == 1 and split[i][0] == split[linked[0]][0] and not groups[i].where for i in linked)
         for part in [linked] if shared else [[i] for i in linked]:
+            if len(paths[part[0]]) == 1 and engine.looks_up(table, split[part[0]][0]):
+                links, found = split[part[0]][0], {}
+                for i in part:
+                    found[names[i]], array = self._key(groups[i], engine.target(table, links), split[i][1])
+                    found[names[i]] = (F.filter(found[names[i]], lambda x: x.isNotNull()), True) if array else (found[names[i]], False)
+                sub, ref = engine.lookup(table, links, {n: c for n, (c, _) in found.items()})
+                out = out.join(sub, ref == F.col("__k"), "left").drop("__k")
+                for n, (_, array) in found.items():
+                    if array:
+                        out, several = out.withColumn(n, F.explode_outer(n)), True
+                continue
             parts, idents = [], []
             for path in paths[part[0]]:
                 links, rest = engine.split(table, path)
@@ -199,12 +220,16 @@ class Aggregates:
         paths = engine.spread(table, m.steps)
         links, rest = engine.split(table, paths[0])
         kind = engine.value_type(table, m.steps)
+        if kind == "TEXT" and m.func in ("SUM", "AVERAGE") and engine.app.options.get("StorageService") == "SpiderService":
+            raise DQLError(f"{m.func} takes no text")  # the row service's metrics don't; the cube's count values
         held = engine.held.get((table.name, links[0].name)) if len(links) == 1 and not links[0].where and not links[0].depth else None
         own = None
         if len(paths) == 1 and not links and (not rest or rest[0].name == "_ID" or not table.field(rest[0].name).collection):
             own = F.col(f"`{rest[0].name}`") if rest else F.col("_ID")
         elif len(paths) == 1 and held and not rest:
             own = F.col(f"`{held}`")  # the link itself, held by the object
+        elif len(paths) == 1 and rest and rest[0].name not in ("*", "_ID") and engine.looks_up(table, links) and not engine.target(table, links).field(rest[0].name).collection:
+            own = plan.look(links, rest[0].name)  # of one linked object at most
         if m.func == "DISTINCT":
             low = (lambda v: F.lower(v)) if kind == "TEXT" else (lambda v: v)
             if own is not None:
@@ -284,7 +309,7 @@ class Aggregates:
                 parents = out if i == len(low) - 1 else plan.grouped(keys, names[: i + 1], low[: i + 1], ident, several).select(*low[: i + 1], finals[0][0].alias(finals[0][1]))
                 out = self._pick(out, parents, low[: i + 1], g, finals[0][1], i == len(low) - 1)
         for n, g in zip(names, groups, strict=True):
-            out = self._shown(out, n, g)
+            out = self._shown(out, n, g, self._labels(table, g) if g.func == "BATCH" else [])
         if flat is not None and finals:
             out = out.orderBy(F.desc_nulls_last(f"`{finals[0][1]}`"), *(F.asc_nulls_first(o) for o in low)).limit(flat)
         first = len(ways[0][1][: level]) - len(groups)
@@ -313,7 +338,7 @@ class Aggregates:
         best = best.select(*(F.col(u).alias("__b" + u) for u in upto))
         return out.join(best, reduce(lambda a, b: a & b, (F.col(u).eqNullSafe(F.col("__b" + u)) for u in upto)), "left_semi")
 
-    def _shown(self, out: DataFrame, n: str, g: Group) -> DataFrame:
+    def _shown(self, out: DataFrame, n: str, g: Group, labels: list[str]) -> DataFrame:
         for values, keep in ((g.include, True), (g.exclude, False)):
             if values:
                 hit = F.lit(False)
@@ -321,15 +346,18 @@ class Aggregates:
                     hit = hit | (F.col(n).isNull() if v == "NULL" else F.coalesce(text.equals(F.col(n).cast("string"), v), F.lit(False)))
                 out = out.where(hit if keep else ~hit)
         if g.func == "BATCH":
-            label = F.element_at(F.array(*map(F.lit, batch_labels(g.args))), F.col(n) + 1)
+            label = F.element_at(F.array(*map(F.lit, labels)), F.col(n) + 1)
             out = out.withColumn(n, F.when(F.col(n).isNotNull(), label))
         elif g.steps and g.steps[-1].name == "MONTH":
             out = out.withColumn(n, F.when(F.col(n).isNotNull(), F.date_format(F.make_date(F.lit(2000), F.col(n), F.lit(1)), "MMMM")))
         return out
 
-    def with_empty(self, out: DataFrame, g: Group) -> DataFrame:
+    def _labels(self, table: Table, g: Group) -> list[str]:
+        return batch_labels(g.args, self.engine.value_type(table, g.steps) in ("TIMESTAMP", "TEXT"))
+
+    def with_empty(self, table: Table, out: DataFrame, g: Group) -> DataFrame:
         """Rows for bins or sets that no object is in (their counts are 0)."""
-        labels = batch_labels(g.args) if g.func == "BATCH" else [n for _, n in g.args]
+        labels = self._labels(table, g) if g.func == "BATCH" else [n for _, n in g.args]
         all_ = self.engine.spark.createDataFrame([(x,) for x in labels], "k string")
         name = g.alias or "g1"
         joined = all_.join(out.withColumnRenamed(name, "k"), "k", "left")

@@ -59,7 +59,7 @@ def _one(f: Field, c: Column, op: str, value) -> Column:
             out = out | sure(_one(f, c, "=" if op == "in" else ":", v))
         return out
     if f.type == "TEXT":
-        return text.equals(c, value) if op == "=" else text.contains(c, value)
+        return text.equals(c, value) if op == "=" else text.matches(c, value) if op == "regexp" else text.contains(c, value, f.analyzer)
     if f.type == "BINARY":
         raise DQLError(f"field {f.name} can't be searched")
     if any(x in value for x in "*?"):

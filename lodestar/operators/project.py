@@ -22,6 +22,10 @@ class Projection:
             if not links and rest and rest[0].name != "_ID" and not table.field(rest[0].name).collection:
                 c = F.col(f"`{rest[0].name}`")
                 df = df.withColumn(name, F.lower(c) if kind == "TEXT" else c)
+            elif rest and rest[0].name != "_ID" and self.engine.looks_up(table, links) and not self.engine.target(table, links).field(rest[0].name).collection:
+                c = F.col(f"`{rest[0].name}`")
+                sub, ref = self.engine.lookup(table, links, {name: F.lower(c) if kind == "TEXT" else c})
+                df = df.join(sub, ref == F.col("__k"), "left").drop("__k")
             else:
                 v = F.lower("value") if kind == "TEXT" else F.col("value")
                 rows, ident, many = self.engine.values(table, steps, df)

@@ -18,6 +18,7 @@ class Field:
     inverse: str | None = None
     junction: str | None = None
     members: list[str] = field(default_factory=list)
+    analyzer: str | None = None
 
     @property
     def is_link(self) -> bool:
@@ -81,6 +82,24 @@ class Application:
         tables = {t.attrib["name"]: {"fields": fields(t), "options": {o.attrib["name"]: o.text for o in t.findall("options/option")}, "aliases": {a.attrib["name"]: a.attrib["expression"] for a in t.findall("aliases/alias")}} for t in root.findall("tables/table")}
         return cls.from_dict({root.attrib["name"]: {"tables": tables, "options": {o.attrib["name"]: o.text for o in root.findall("options/option")}}})
 
+    def to_dict(self) -> dict:
+        """As from_dict() takes it."""
+
+        def fields(t: Table, names) -> dict:
+            out = {}
+            for n in names:
+                f = t.fields[n]
+                out[n] = {k: v for k, v in (("type", f.type), ("collection", "true" if f.collection else None), ("table", f.table), ("inverse", f.inverse), ("junction", f.junction), ("analyzer", f.analyzer)) if v}
+                if f.members:
+                    out[n] = {"type": "GROUP", "fields": fields(t, f.members)}
+            return out
+
+        tables = {}
+        for n, t in self.tables.items():
+            inner = {m for f in t.fields.values() for m in f.members}
+            tables[n] = {"fields": fields(t, [x for x in t.fields if x not in inner]), "options": t.options, "aliases": {a: {"expression": x} for a, x in t.aliases.items()}}
+        return {self.name: {"options": self.options, "tables": tables}}
+
     def complete(self) -> None:
         """Add the inverse of every link that names one."""
         for t in list(self.tables.values()):
@@ -99,8 +118,42 @@ def _fields(table: Table, specs: dict) -> list[str]:
         kind = s.get("type", "GROUP" if "fields" in s else "TEXT").upper()
         if kind not in SPARK and kind not in ("LINK", "XLINK", "GROUP"):
             raise ValueError(f"unknown type {kind}")
-        f = table.fields[name] = Field(name, kind, str(s.get("collection", "false")).lower() == "true", s.get("table"), s.get("inverse"), s.get("junction"))
+        f = table.fields[name] = Field(name, kind, str(s.get("collection", "false")).lower() == "true", s.get("table"), s.get("inverse"), s.get("junction"), analyzer=s.get("analyzer"))
         if kind == "GROUP":
             f.members = _fields(table, s.get("fields", {}))
         names.append(name)
     return names
+
+
+class Catalog:
+    """Applications by name: define or replace, modify, get, list, delete."""
+
+    def __init__(self):
+        self.apps: dict[str, Application] = {}
+
+    def define(self, spec: dict | str) -> Application:
+        app = spec if isinstance(spec, Application) else Application.from_dict(spec) if isinstance(spec, dict) else (Application.from_xml if spec.lstrip().startswith("<") else Application.from_json)(spec)
+        self.apps[app.name] = app
+        return app
+
+    def modify(self, spec: dict | str) -> Application:
+        """Replace a definition that is there. Fields may come and go; a link can't become a scalar nor the other way."""
+        name = next(iter(spec)) if isinstance(spec, dict) else None
+        before = dict(self.apps)
+        app = self.define(spec)
+        name = name or app.name
+        old = before.get(name)
+        clash = [f"{t}.{f}" for t, tb in app.tables.items() for f, x in tb.fields.items() if old and t in old.tables and f in old.tables[t].fields and old.tables[t].fields[f].is_link != x.is_link]
+        if old is None or clash:
+            self.apps = before
+            raise ValueError(f"no application {name}" if old is None else f"links and scalars can't change into each other: {clash}")
+        return app
+
+    def get(self, name: str) -> Application:
+        return self.apps[name]
+
+    def list(self) -> list[str]:
+        return sorted(self.apps)
+
+    def delete(self, name: str) -> None:
+        del self.apps[name]

@@ -7,7 +7,9 @@ multi-valued field the union.
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -107,51 +109,153 @@ def with_delta(df: DataFrame, field: str, add: DataFrame | None = None, remove:
     return df
 
 
+def with_links(edges: DataFrame, add: DataFrame | None = None, remove: DataFrame | None = None) -> DataFrame:
+    """Edges (src, dst) with some added and removed; the inverse link is made of the same edges, so it follows."""
+    if add is not None:
+        edges = edges.union(add.select("src", "dst")).distinct()
+    return edges if remove is None else edges.join(remove.select("src", "dst"), ["src", "dst"], "left_anti")
+
+
+def edges(snapshot: DataFrame, field: str) -> DataFrame:
+    """(src, dst) of a link that a snapshot holds as an array of ids."""
+    return snapshot.select(F.col("_ID").alias("src"), F.explode(field).alias("dst"))
+
+
+def upserted(df: DataFrame, changes: DataFrame, nulls: tuple = ()) -> DataFrame:
+    """df with new objects, and with the values that changes have for those there are; fields in `nulls` become null for them."""
+    fields = [c for c in df.columns if c != "_ID"]
+    new = changes.select(F.col("_ID").alias("__id"), F.lit(True).alias("__new"), *(F.col(c).alias("__" + c) for c in fields if c in changes.columns))
+    both = df.join(new, F.col("_ID") == F.col("__id"), "full")
+    value = lambda c: F.when(F.col("__new"), F.lit(None)).otherwise(F.col(c)) if c in nulls else F.coalesce("__" + c, c) if c in changes.columns else F.col(c)
+    return both.select(F.coalesce("_ID", "__id").alias("_ID"), *(value(c).alias(c) for c in fields))
+
+
 def update_where(df: DataFrame, hit, values: dict) -> DataFrame:
     """df with new values where the Column hit holds."""
     return df.withColumns({k: F.when(hit, F.lit(v)).otherwise(F.col(k)) for k, v in values.items()})
 
 
 class ShardStore:
-    """Batches and snapshots as Parquet folders, partitioned by shard."""
+    """Batches and snapshots as Parquet folders. A batch is a folder batches/_shard=s/_order=n; a shard's snapshot one of cubes/.
+
+    What snapshot a shard has, how far it has merged, and when it expires, is in a small file of the store, written last, so that a merge that
+    breaks off leaves the snapshot before it.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.orders = [0, 0]  # the lowest and highest place given out
-        if self._exists("batches"):
-            low, high = self.batches().agg(F.min("_order"), F.max("_order")).first()
-            self.orders = [min(0, low or 0), max(0, high or 0)]
+        found = [o for of in self._segments().values() for o in of]
+        self.orders = [min([0, *found]), max([0, *found])]  # the lowest and highest place given out
 
-    def _exists(self, name: str) -> bool:
+    def _fs(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def add(self, docs: DataFrame, shard: str, overwrite: bool = True) -> None:
+    def _names(self, name: str, key: str) -> list[str]:
+        path, fs = self._fs(name)
+        return sorted(s.getPath().getName()[len(key) :] for s in fs.listStatus(path) if s.getPath().getName().startswith(key)) if fs.exists(path) else []
+
+    def _segments(self) -> dict[str, list[int]]:
+        return {s: sorted(int(o) for o in self._names(f"batches/_shard={s}", "_order=")) for s in self._names("batches", "_shard=")}
+
+    def segments(self, shard: str) -> list[int]:
+        return self._segments().get(shard, [])
+
+    def properties(self) -> dict:
+        """By shard: cube, segments merged, expire (as text)."""
+        path, fs = self._fs("shards.json")
+        if not fs.exists(path):
+            return {}
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/shards.json").collect()))
+
+    def _put(self, properties: dict) -> None:
+        path, fs = self._fs("shards.json")
+        out = fs.create(path, True)
+        out.write(bytearray(json.dumps(properties).encode()))
+        out.close()
+
+    def add(self, docs: DataFrame, shard: str, overwrite: bool = True) -> int:
+        """Add a batch; its place (segment) is given back."""
         if overwrite:
             self.orders[1] += 1
         else:
             self.orders[0] -= 1
-        batch(docs, shard, self.orders[1] if overwrite else self.orders[0]).write.mode("append").partitionBy("_shard").parquet(f"{self.path}/batches")
+        order = self.orders[1] if overwrite else self.orders[0]
+        batch(docs, shard, order).drop("_shard", "_order").write.mode("append").parquet(f"{self.path}/batches/_shard={shard}/_order={order}")
+        return order
+
+    def delete(self, ids: DataFrame, shard: str) -> int:
+        return self.add(ids.select("_ID").withColumn("_deleted", F.lit(True)), shard)
 
-    def delete(self, ids: DataFrame, shard: str) -> None:
-        self.add(ids.select("_ID").withColumn("_deleted", F.lit(True)), shard)
+    def get(self, id_: str, *shards: str) -> DataFrame:
+        """The object of an id as the batches have it now, in all shards or some."""
+        return merged(self.batches(*shards).where(F.col("_ID") == id_))
 
     def drop(self, shard: str) -> None:
-        """Forget a shard: its folder of batches goes, snapshots written from now on lack it."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batches/_shard={shard}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        """Forget a shard: its batches and its snapshot go."""
+        self._remove(f"batches/_shard={shard}")
+        self._put({s: p for s, p in self.properties().items() if s != shard})
+        self._remove(f"cubes/{shard}")
+
+    def drop_segment(self, shard: str, order: int) -> None:
+        """Forget one batch of a shard."""
+        self._remove(f"batches/_shard={shard}/_order={order}")
+
+    def _remove(self, name: str) -> None:
+        path, fs = self._fs(name)
+        fs.delete(path, True)
+
+    def expire(self, shard: str, date: str | None) -> None:
+        """Set or take back the time from which on a shard is out of date."""
+        properties = self.properties()
+        properties.setdefault(shard, {})["expire"] = date
+        self._put(properties)
+
+    def age(self, now) -> list[str]:
+        """Drop the shards whose time has come; their names."""
+        gone = [s for s, p in self.properties().items() if p.get("expire") and p["expire"] <= str(now)]
+        for s in gone:
+            self.drop(s)
+        return gone
 
     def shards(self) -> DataFrame:
-        return self.batches().select("_shard").distinct()
-
-    def batches(self) -> DataFrame:
-        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/batches").withColumn("_shard", F.col("_shard").cast("string"))
-
-    def merge(self) -> DataFrame:
-        """Write a snapshot of all batches under a new name and read it."""
-        out = f"{self.path}/cubes/{uuid.uuid4().hex}"
-        merged(self.batches()).write.partitionBy("_shard").parquet(out)
-        return self.spark.read.parquet(out).withColumn("_shard", F.col("_shard").cast("string"))
+        return self.spark.createDataFrame([(s,) for s in self._segments()], "_shard string")
+
+    def batches(self, *shards: str) -> DataFrame:
+        """Rows of the batches of all shards, or of some: no other shard's files are looked at."""
+        paths = [f"{self.path}/batches/_shard={s}" for s in shards or self._segments()]
+        df = self.spark.read.option("mergeSchema", "true").option("basePath", f"{self.path}/batches").parquet(*paths)
+        return df.withColumns({"_shard": F.col("_shard").cast("string"), "_order": F.col("_order").cast("long")})
+
+    def merge(self, *shards: str, expire: str | None = None, force: bool = False) -> DataFrame:
+        """Bring the snapshots of some shards, or all, up to date, and read the whole snapshot. Shards without new batches are left as they are, unless forced."""
+        properties, segments = self.properties(), self._segments()
+        for s in shards or segments:
+            p = properties.setdefault(s, {})
+            if expire is not None:
+                p["expire"] = expire
+            if not segments.get(s) or (p.get("merged") == segments[s] and not force):
+                continue
+            out = f"{self.path}/cubes/{s}/{uuid.uuid4().hex}"
+            merged(self.batches(s)).drop("_shard").write.parquet(out)
+            p |= {"cube": out, "merged": segments[s]}
+        self._put(properties)
+        return self.snapshot()
+
+    def snapshot(self, *shards: str) -> DataFrame:
+        """The last snapshots of all shards, or of some."""
+        parts = [self.spark.read.parquet(p["cube"]).select(F.lit(s).alias("_shard"), "*") for s, p in self.properties().items() if p.get("cube") and (not shards or s in shards)]
+        if not parts:
+            raise ValueError("nothing merged")
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+class MonoStore(ShardStore):
+    """A store of one shard, named mono, merged with each update."""
+
+    def update(self, docs: DataFrame, overwrite: bool = True) -> DataFrame:
+        self.add(docs, "mono", overwrite)
+        return self.merge("mono")
 
 
 #: Stands between the values of a multi-valued field in a CSV cell.

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions import times
+
 
 def tail(spark: SparkSession, path: str, schema: StructType, files: int | None = None) -> DataFrame:
     """New rows of a Parquet folder, as a stream."""
@@ -30,3 +32,17 @@ def upserts(rows: DataFrame, merge, checkpoint: str, once: bool = True):
     """Give each micro-batch to merge(batch, id): periodic merging of batches."""
     writer = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def auto_merge(rows: DataFrame, store, checkpoint: str, every: str = "1 HOUR", once: bool = False):
+    """A stream of rows with _shard, _ID and fields: each micro-batch adds a segment to its shards and merges these alone."""
+
+    def merge(batch: DataFrame, _: int) -> None:
+        shards = [r[0] for r in batch.select("_shard").distinct().collect()]  # names of shards
+        for s in shards:
+            store.add(batch.where(F.col("_shard") == s).drop("_shard"), s)
+        if shards:
+            store.merge(*shards)
+
+    writer = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{int(times.frequency(every).total_seconds())} seconds")).start()

@@ -119,7 +119,7 @@ class Predicates:
         if isinstance(q, Everything):
             return df
         if self._plain(table, q):
-            return df.where(self.column(table, q))
+            return df.where(self.column(table, q, True))
         q = self._rewritten(table, q)
         if isinstance(q, (And, Everything)) or self._plain(table, q):
             return self.filter(df, table, q)
@@ -195,16 +195,16 @@ class Predicates:
             return f is not None and not q.distinct and f.type != "GROUP"
         return False
 
-    def column(self, table: Table, q) -> Column:
-        """A query without links as a Column that is never null."""
+    def column(self, table: Table, q, bare: bool = False) -> Column:
+        """A query without links as a Column that is never null; bare: for a filter, where null will do for false and the scan takes more."""
         if isinstance(q, Everything):
             return F.lit(True)
         if isinstance(q, Nothing):
             return F.lit(False)
         if isinstance(q, (And, Or)):
-            out = self.column(table, q.parts[0])
+            out = self.column(table, q.parts[0], bare)
             for p in q.parts[1:]:
-                out = out & self.column(table, p) if isinstance(q, And) else out | self.column(table, p)
+                out = out & self.column(table, p, bare) if isinstance(q, And) else out | self.column(table, p, bare)
             return out
         if isinstance(q, Not):
             return ~self.column(table, q.part)
@@ -234,6 +234,8 @@ class Predicates:
             values = [int(v) for v in (q.value if q.op == "in" else [q.value])]
             part = _PART[q.steps[1].name]
             return sure(F.exists(c, lambda x: part(x).isin(*values))) if f.collection else sure(part(c).isin(*values))
+        if bare and not f.collection and q.op != "null" and q.steps[0].quant != "NONE":
+            return _one(f, F.col(f"`{f.name}`"), q.op, q.value)
         return scalar(f, q, q.steps[0].quant)
 
     # -- links

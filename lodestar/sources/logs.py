@@ -20,9 +20,9 @@ def append(df: DataFrame, path: str, ts: str = "Timestamp") -> None:
     df.withColumn("_day", F.to_date(ts)).write.mode("append").partitionBy("_day").parquet(path)
 
 
-def compact(spark: SparkSession, path: str, out: str) -> None:
-    """Each day's files as few, in order of time."""
-    spark.read.parquet(path).repartition("_day").sortWithinPartitions("_day", "Timestamp").write.mode("overwrite").partitionBy("_day").parquet(out)
+def compact(spark: SparkSession, path: str, out: str, ts: str = "Timestamp") -> None:
+    """Each day's files as few, in order of time: days are dealt by ranges of time, so that a long day fills several tasks."""
+    spark.read.parquet(path).repartitionByRange("_day", ts).sortWithinPartitions("_day", ts).write.mode("overwrite").partitionBy("_day").parquet(out)
 
 
 def aged(df: DataFrame, days: int, now: datetime) -> DataFrame:

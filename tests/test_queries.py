@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from lodestar.queries import ORACLE_SQL, QUERIES
+from lodestar.features import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 

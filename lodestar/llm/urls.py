@@ -1,17 +1,22 @@
 """URL filters by association rules, with DataFrame functions alone.
 
-FP-growth mines combinations of url tokens (domain suffixes, path segments, names of query fields) that go with bad labels. Rules of enough
-support and confidence are kept unless a shorter rule of at least their confidence covers them. They are matched by an
-inverted index from tokens to rules, which travels as a literal: support bounds the rules, so their number doesn't grow
-with the pages. Hand-written rules for hosts and paths go first: the longest that fits decides.
+FP-growth mines combinations of url tokens (domain suffixes, path segments, names of query fields) that go with bad pages. A page's label is
+the verdict of the hand-written rule that fits its url (block: bad, allow: good); if none does, the row of `labels` with its id
+(quality 0 or toxic: bad); pages with neither aren't learned from. Rules are kept if they have the support, a confidence of over one
+half, a lift over the share of bad pages, and so many bad pages that chance would not give them (a bound of `sigmas` standard errors), unless a
+rule of fewer tokens has at least their confidence. They are matched by an inverted index from tokens to rules, which travels as a
+literal: support bounds the rules, so their number doesn't grow with the pages. Hand-written rules go first: the longest
+that fits decides.
 
 Host: after the first "://" up to "/", "?", "#" or the end, A-Z lower-cased; path: then up to "?", "#" or the end. Null urls, and those
 without "://", have an empty host and path and no tokens, so no rule fits: allowed. Rows that repeat an id count separately; other
-columns are ignored. Without labels nothing is mined.
+columns are ignored. Without labels and pages that hand-written rules fit nothing is mined.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,26 +50,39 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(suffixes, first, segments, names))
 
 
-def mine(pages: DataFrame, labels: DataFrame, support: float = 0.005, confidence: float = 0.5, least: int = 20, url_col: str = "url", id_col: str = "page_id", label_id: str = "doc_id") -> list[tuple[tuple[str, ...], float]]:
-    """(tokens, confidence) of the rules for bad pages (quality 0 or toxic), pruned.
+def ruled(url: Column, fixed=RULES) -> tuple[Column, Column]:
+    """The hand-written rule that decides a url, and its verdict; nulls if none fits."""
+    host, path = parts(url)
+    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for decision, text in sorted(fixed, key=lambda r: len(r[1])):  # a longer one overrides
+        name, slash, start = text.partition("/")
+        fits = ((host == name) | host.endswith("." + name)) & path.startswith(slash + start)
+        rule, verdict = F.when(fits, text).otherwise(rule), F.when(fits, decision).otherwise(verdict)
+    return rule, verdict
+
+
+def mine(pages: DataFrame, labels: DataFrame, fixed=RULES, support: float = 0.001, confidence: float = 0.5, lift: float = 1.2, sigmas: float = 4.0, least: int = 20, url_col: str = "url", id_col: str = "page_id", label_id: str = "doc_id") -> list[tuple[tuple[str, ...], float]]:
+    """(tokens, confidence) of the rules for bad pages, pruned (see above).
 
-    Rules hold in `support` of the labelled pages and in `least` of them, so there are at most (combinations of a url's
+    Rules hold in `support` of the pages learned from and in `least` bad ones, so there are at most (combinations of a url's
     tokens) / support of them, whatever the number of pages.
     """
     bad = labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("__id")).agg(F.max(((F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("bad"))
-    rows = pages.select(F.col(id_col).alias("__page"), url_tokens(F.col(url_col)).alias("t")).join(bad, F.col("__page") == F.col("__id"))
+    rows = pages.select(F.col(id_col).alias("__page"), url_tokens(F.col(url_col)).alias("t"), (ruled(F.col(url_col), fixed)[1] == "block").cast("int").alias("fixed"))
+    rows = rows.join(bad, F.col("__page") == F.col("__id"), "left").select("t", F.coalesce("fixed", "bad").alias("bad")).where("bad is not null")
     baskets = rows.select(F.when(F.col("bad") == 1, F.array_append("t", F.lit(BAD))).otherwise(F.col("t")).alias("items")).where(F.size("items") > 0)
-    n = baskets.count()
-    if not n:
+    n, base = baskets.agg(F.count(F.lit(1)), F.avg(F.array_contains("items", BAD).cast("int"))).first()
+    if not n or not base:
         return []
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / n)), minConfidence=confidence).fit(baskets)
-    found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.size("antecedent") <= 4)).select("antecedent", "confidence").collect()
-    rules = sorted(((tuple(sorted(r["antecedent"])), r["confidence"]) for r in found), key=lambda r: (len(r[0]), r[0]))
-    kept: list[tuple[tuple[str, ...], float]] = []
-    for tokens, conf in rules:
-        if not any(set(t) <= set(tokens) and c >= conf for t, c in kept):
-            kept.append((tokens, conf))
-    return kept
+    with_ = F.col("support") * n / F.col("confidence")  # pages that hold the tokens
+    sure = (F.col("lift") >= lift) & (F.col("confidence") - base >= sigmas * F.sqrt(base * (1 - base) / with_))
+    found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & sure).select("antecedent", "confidence").collect()
+    kept: dict[tuple[str, ...], float] = {}
+    for tokens, conf in sorted(((tuple(sorted(r["antecedent"])), r["confidence"]) for r in found), key=lambda r: (len(r[0]), r[0])):
+        if not any(kept.get(t, 0) >= conf for k in range(1, len(tokens)) for t in combinations(tokens, k)):
+            kept[tokens] = conf
+    return list(kept.items())
 
 
 def matches(tokens: Column, rules: list[tuple[tuple[str, ...], float]]) -> Column:
@@ -84,11 +102,6 @@ def matches(tokens: Column, rules: list[tuple[tuple[str, ...], float]]) -> Colum
 def judge(pages: DataFrame, rules: list[tuple[tuple[str, ...], float]], fixed=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per row: page_id, host, path, rule (the fixed rule that decided, or null), verdict, mined (whether a mined rule matches)."""
     host, path = parts(F.col(url_col))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"), url_tokens(F.col(url_col)).alias("t"))
-    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for decision, text in sorted(fixed, key=lambda r: len(r[1])):  # a longer one overrides
-        name, slash, start = text.partition("/")
-        fits = ((F.col("host") == name) | F.col("host").endswith("." + name)) & F.col("path").startswith(slash + start)
-        rule, verdict = F.when(fits, text).otherwise(rule), F.when(fits, decision).otherwise(verdict)
-    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("v"), matches(F.col("t"), rules).alias("mined"))
+    rule, verdict = ruled(F.col(url_col), fixed)
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("v"), matches(url_tokens(F.col(url_col)), rules).alias("mined"))
     return rows.select("page_id", "host", "path", "rule", F.coalesce("v", F.when(F.col("mined"), "block").otherwise("allow")).alias("verdict"), "mined")

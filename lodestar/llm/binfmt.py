@@ -5,7 +5,8 @@ each is null, token counts, block offsets), then a trailer (footer offset, docum
 takes the minimum bits of the vocabulary, lowest bit first, so any block, and any range of ids in it, unpacks with numpy alone.
 
 `write_ids` range-partitions documents by id and writes a file per partition; a manifest (path, counts, ids before it) joins
-them. Tasks write under a name of their own and rename at the end, so repeated attempts leave one whole file. Null texts are
+them. A task writes under a name of its own attempt, and the manifest, which Spark commits, says which files count, so repeated or
+speculative attempts leave others' files alone. Null texts are
 empty texts; null ids come first; equal ids stay separate rows, ordered by text; an empty table has no files. Other columns are ignored.
 """
 
@@ -131,18 +132,17 @@ def write_ids(docs: DataFrame, folder: str | None = None, end_id: int = 1, vocab
         bits = bits_of(enc.library.get_vocab_size())
         part = TaskContext.get().partitionId()
         fs, root = common.file_system(folder)
-        tmp, writer = f"{root}/_{part}-{uuid.uuid4().hex}", None
+        name, writer = f"part-{part:06d}-{uuid.uuid4().hex}.ids", None
         for batch in batches:
             ids_col = batch.column(0).to_pylist()
             for i, j, data, bounds in common.pieces(common.text_column(batch, "t")):
                 ids, upto = enc.encode(data, bounds)
                 ids = np.insert(ids.astype(np.uint32), upto[1:], end_id)
-                writer = writer or Writer(fs.open_output_stream(tmp), bits)
+                writer = writer or Writer(fs.open_output_stream(f"{root}/{name}"), bits)
                 writer.add(ids, ids_col[i:j], np.diff(upto) + 1)
         if writer:
             n_docs, n = writer.close()
-            fs.move(tmp, f"{root}/part-{part:06d}.ids")
-            yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{folder}/part-{part:06d}.ids", "n_docs": n_docs, "n_tokens": n}], pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{folder}/{name}", "n_docs": n_docs, "n_tokens": n}], pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).repartitionByRange(parts, "i").sortWithinPartitions("i", "t")
     manifest = common.stored(rows.mapInArrow(write, MANIFEST), "token-manifest")

@@ -186,29 +186,67 @@ def test_records_across_reads(monkeypatch, read):
     import io
 
     monkeypatch.setattr(warc, "READ", read)
-    raw = [warc.record(i, "u", f"text {i} ".encode() * i, warc.digest32(hashlib.sha1(f"text {i} ".encode() * i).digest()), None) for i in range(12)]
+    raw = [warc.record(i, "u", f"text {i} ".encode() * i, warc.digest32(hashlib.sha1(f"text {i} ".encode() * i).digest())) for i in range(12)]
     data = b"".join(raw)
     for split in (13, 100, len(data)):
         got = [r["page_id"] for s in range(0, len(data), split) for r in warc.range_records(io.BytesIO(data), s, min(s + split, len(data)), len(data))]
         assert got == list(range(12))
 
 
-def test_warc(spark, tmp_path, monkeypatch):
+def test_damage_is_an_error():
+    """Once a record is found, a lost or changed byte after it never loses a record in silence."""
+    import io
+
+    raw = [warc.record(i, "u", f"text {i} ".encode() * 50, warc.digest32(hashlib.sha1(f"text {i} ".encode() * 50).digest())) for i in range(4)]
+    whole = b"".join(raw)
+    read = lambda data, start=0: [r["page_id"] for r in warc.range_records(io.BytesIO(data), start, len(data), len(data))]
+    assert read(whole) == [0, 1, 2, 3] and read(whole, 1) == [1, 2, 3]
+    for cut in range(1, len(raw[3])):
+        with pytest.raises(ValueError, match="cut off|damaged|no record"):
+            read(whole[:-cut])
+    at = len(raw[0])
+    for place in range(at, at + len(raw[1])):
+        data = bytearray(whole)
+        data[place] ^= 0x55
+        try:
+            assert read(bytes(data)) == [0, 1, 2, 3]  # fields of gzip that say nothing of the contents
+        except ValueError:
+            pass
+    with pytest.raises(ValueError, match="no record"):
+        read(raw[0] + b"junk" + raw[1])
+
+
+def test_repeated_attempts(spark, tmp_path):
+    """A second run into the same folder leaves the first one's files alone, and each table of files reads its own."""
+    pages = spark.createDataFrame([(i, "u", f"x{i}") for i in range(20)], "page_id long, url string, html string")
+    a, b = (warc.write(pages, f"file://{tmp_path}/w") for _ in range(2))
+    assert not {r["path"] for r in a.collect()} & {r["path"] for r in b.collect()}
+    for files in (a, b):
+        assert sorted(r["page_id"] for r in warc.read(files).collect()) == list(range(20))
+    fs, path = file_system(a.first()["path"])
+    with fs.open_append_stream(path, compression=None) as f:
+        f.write(b"more")
+    with pytest.raises(Exception, match="bytes, not"):
+        warc.read(a).count()
+
+
+@pytest.mark.parametrize("hot", [1, 20_000])
+def test_warc(spark, tmp_path, monkeypatch, hot):
     monkeypatch.setattr(warc, "ARCHIVE", 20_000)
+    monkeypatch.setattr(warc, "HOT", hot)
     rows = [(r["page_id"], r["url"], r["html"], 1) for r in pq.read_table(f"{cases.SF}/pages.parquet").to_pylist()]
-    rows += [(9000 + i, "http://a b/\né", rows[5][2], 1) for i in range(30)] + [(9100, None, None, 1), (9101, "u", "", 1), (None, "n", "x", 1), (None, "n", rows[5][2], 1), (9102, "x", "é" * 300_000, 1), rows[0]]
+    rows += [(9000 + i, "http://a b/\né", rows[5][2], 1) for i in range(30)] + [(9100, None, None, 1), (9101, "u", "", 1), (None, "n", "x", 1), (None, "n", rows[5][2], 1), (None, "m", "x", 1), (9103, None, "tie", 1), (9103, "b", "tie", 1), (9103, "a", "tie", 1), (9102, "x", "é" * 300_000, 1), rows[0]]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload int")
     files = warc.write(pages, f"file://{tmp_path}/w")
+    order = lambda i, u: (i is None, i or 0, u is None, u or "")
     first = {}
-    for i, _, h, _ in rows:
-        if i is not None:
-            first[h or ""] = min(first.get(h or "", i), i)
+    for i, u, h, _ in rows:
+        first[h or ""] = min(first.get(h or "", (i, u)), (i, u), key=lambda x: order(*x))
     want = []
-    for i, _, h, _ in rows:
+    for i, u, h, _ in rows:
         h = h or ""
-        lead = first.get(h)
-        copy = lead is not None and lead != i
-        want.append((i, len(h.encode()), warc.digest32(hashlib.sha1(h.encode()).digest()), "revisit" if copy else "response", lead if copy else None, None if copy else h.encode()))
+        copy = first[h] != (i, u)
+        want.append((i, len(h.encode()), warc.digest32(hashlib.sha1(h.encode()).digest()), "revisit" if copy else "response", first[h][0] if copy else None, None if copy else h.encode()))
     for split in (1 << 25, 997):
         got = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"])) for r in warc.read(files, split).collect()]
         assert sorted(got, key=key) == sorted(want, key=key)

@@ -18,37 +18,63 @@ LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 # ---------------------------------------------------------------------------- embeddings
 
 
-def test_near_duplicates(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "PER_LIST", 60)
-    monkeypatch.setattr(vectors, "MEMBERS", 20)
-    monkeypatch.setattr(vectors, "QUERIES", 30)
+def brute_near(rows):
+    """(id, n_links, component, kept) of each row, rows of one id apart."""
+    ok = [k for k, (i, v) in enumerate(rows) if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
+    unit = {k: (lambda x: x / np.linalg.norm(x))(np.array(rows[k][1], float) / np.abs(rows[k][1]).max()) for k in ok}
+    links = {k: {j for j in ok if j != k and len(unit[j]) == len(unit[k]) and unit[k] @ unit[j] >= 0.9} for k in ok}
+    root = {k: rows[k][0] for k in ok}
+    for _ in ok:
+        for a in ok:
+            for b in links[a]:
+                root[a] = root[b] = min(root[a], root[b])
+    return [(i, len(links.get(k, ())), root.get(k, i), root.get(k, i) == i) for k, (i, v) in enumerate(rows) if i is not None]
+
+
+@pytest.mark.parametrize(("kind", "lists"), [("float", 4096), ("double", 4096), ("float", 3)])
+def test_near_duplicates(spark, monkeypatch, kind, lists):
+    monkeypatch.setattr(vectors, "PER_LIST", 20)
+    monkeypatch.setattr(vectors, "LISTS", lists)  # 3: lists are cut by the second codebook
+    monkeypatch.setattr(vectors, "MEMBERS", 40)
+    monkeypatch.setattr(vectors, "QUERIES", 50)
+    monkeypatch.setattr(vectors, "NEAR", 3)
     r = np.random.default_rng(2)
     base = r.standard_normal((150, 16))
     near = base[:10].repeat(8, 0) + r.standard_normal((80, 16)) * 0.25
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([base, near]).astype(np.float32))]
     rows += [(1000 + i, rows[3][1]) for i in range(60)]
     rows += [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [1.0, None] + [0.0] * 14), (2004, []), (None, rows[0][1]), (2005, [1.0, 2.0]), (2006, [2.0, 4.0]), (2007, [float("inf")] * 16)]
-    table = spark.createDataFrame([(*x, 1, 0.5) for x in rows], "vec_id long, embedding array<float>, label int, n_links double")
-    found = vectors.near_duplicates(table, probes=100)
-    ok = [(i, np.array(v)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
-    links = {i: set() for i, _ in rows if i is not None}
-    for a, x in ok:
-        for b, y in ok:
-            if a != b and len(x) == len(y) and x @ y / math.sqrt((x @ x) * (y @ y)) >= 0.9:
-                links[a].add(b)
-    root = {i: i for i in links}
-    for _ in links:
-        for a in links:
-            for b in links[a]:
-                root[a] = root[b] = min(root[a], root[b])
-    got = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in found.collect() if x["vec_id"] is not None}
-    assert got == {i: (len(links[i]), root[i], root[i] == i) for i in links}
+    rows += [(1, rows[7][1]), (1, rows[20][1]), (20, rows[7][1]), (3000, [1.0, 0.0, 0.0]), (3000, [0.0, 1.0, 0.0]), (3001, [1.0, 0.1, 0.0])]  # ids of several vectors
+    if kind == "double":
+        rows += [(4000, [1e39, 0.0, 0.0]), (4001, [1e39, 1e37, 0.0]), (4002, [1e-300, 0.0, 1e-301]), (4003, [1e300, 0.0, 0.0])]
+    table = spark.createDataFrame([(*x, 1, 0.5) for x in rows], f"vec_id long, embedding array<{kind}>, label int, n_links double")
+    found = vectors.near_duplicates(table, probes=10**6)
+    got = sorted(tuple(x) for x in found.collect() if x["vec_id"] is not None)
+    assert got == sorted(brute_near(rows))
     assert found.count() == len(rows)
     few = vectors.near_duplicates(table, probes=2)
-    assert vectors.recall(table.where("vec_id < 2000"), few) >= 0.9
+    assert vectors.recall(table.where("vec_id < 2000 and vec_id not in (1, 20)"), few) >= 0.9
     assert vectors.near_duplicates(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("lists", [(170, 1), (1000, 1), (4096, 1), (256, 64)])
+def test_recall_with_growth(lists, monkeypatch):
+    """Pairs at a cosine of 0.9 in random directions, the hardest there are: found by either, at numbers of lists that stand for up to five million vectors."""
+    coarse, fine = lists
+    monkeypatch.setattr(vectors, "PER_LIST", 1)
+    monkeypatch.setattr(vectors, "LISTS", coarse if fine > 1 else 4096)
+    r = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(r.standard_normal((1500, 64)))
+    other = r.standard_normal((1500, 64))
+    other = unit(other - (other * x).sum(1, keepdims=True) * x)
+    y = 0.9 * x + np.sqrt(1 - 0.81) * other
+    index = vectors.Index(unit(r.standard_normal((8000, 64))), coarse * fine, 16)
+    (a, pa), (b, pb) = index.near(x.astype(np.float32)), index.near(y.astype(np.float32))
+    assert index.lists == coarse * fine
+    assert ((pa == b[:, None]).any(1) | (pb == a[:, None]).any(1)).mean() >= 0.9
+
+
 # ---------------------------------------------------------------------------- the line field
 
 

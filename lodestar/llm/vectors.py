@@ -128,7 +128,7 @@ def _bytes(x: np.ndarray) -> list[bytes]:
 
 
 def _coded(index: Index, f: pd.DataFrame) -> pd.DataFrame:
-    """Per vector: its list and bucket, codes and their error, the lists and buckets that it probes, and itself in bytes with its scale and error."""
+    """Per vector: its list and bucket; what it is held as (codes, their error, list); the lists that it probes; by bucket, what it asks with (itself in bytes, scale, error, lists there)."""
     x = _exact(f.x.to_list()).astype(np.float32)
     own, probed = index.near(x)
     codes, error = index.code(x, own)
@@ -136,21 +136,31 @@ def _coded(index: Index, f: pd.DataFrame) -> pd.DataFrame:
     small = np.rint(x / scale[:, None]).astype(np.int8)
     lost = np.linalg.norm(x - small * scale[:, None], axis=1)
     of = index.bucket[probed // len(index.fine)]
-    return pd.DataFrame({"k": f.k, "own": own, "bucket": index.bucket[own // len(index.fine)], "codes": _bytes(codes), "error": error, "probed": _bytes(probed.astype(np.int32)), "buckets": [np.unique(r) for r in of], "small": _bytes(small), "scale": scale, "lost": lost})
-
-
-def _wanted(index: Index, key, rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    by = np.argsort(of, axis=1, kind="stable")
+    lists, of = np.take_along_axis(probed, by, 1).astype("<i4"), np.take_along_axis(of, by, 1)
+    head = np.concatenate([small.view(np.uint8), np.stack([scale, lost], 1).astype("<f4").view(np.uint8)], 1)
+    asked, buckets = [], []
+    for r, b, h in zip(lists, of, _bytes(head), strict=True):
+        at = np.flatnonzero(np.diff(b, prepend=-1))
+        buckets.append(b[at])
+        asked.append([h + x.tobytes() for x in np.split(r, at[1:])])
+    held = np.concatenate([codes, error.astype("<f4").view(np.uint8).reshape(-1, 4), own.astype("<i4").view(np.uint8).reshape(-1, 4)], 1)
+    return pd.DataFrame({"k": f.k, "own": own, "bucket": index.bucket[own // len(index.fine)], "held": _bytes(held), "probed": _bytes(probed.astype("<i4")), "buckets": buckets, "asked": asked})
+
+
+def _wanted(index: Index, block: int, rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """A block of a bucket: the vectors that some bound lets link, as members or as queries."""
     members, queries = rows[~rows["query"]], rows[rows["query"]]
     if not len(members) or not len(queries):
-        return pd.DataFrame({"bucket": [], "mblock": [], "qblock": [], "query": [], "k": []}).astype({"bucket": "int32", "mblock": "int32", "qblock": "int32", "query": "bool", "k": "int64"})
-    own = members["at"].to_numpy(np.int32)
-    codes = np.frombuffer(b"".join(members.code), np.uint8).reshape(len(members), -1)
-    error = members.error.to_numpy(np.float32)
-    q = np.frombuffer(b"".join(queries.code), np.int8).reshape(len(queries), -1) * queries.scale.to_numpy(np.float32)[:, None]
-    lost = queries.error.to_numpy(np.float32)
-    probed = np.frombuffer(b"".join(queries.lists), np.int32).reshape(len(queries), -1)
-    asks, which = np.repeat(np.arange(len(q)), probed.shape[1]), probed.ravel()
+        return pd.DataFrame({"block": [], "query": [], "k": []}).astype({"block": "int64", "query": "bool", "k": "int64"})
+    held = np.frombuffer(b"".join(members.code), np.uint8).reshape(len(members), -1)
+    codes, error, own = held[:, :-8], held[:, -8:-4].copy().view("<f4").ravel(), held[:, -4:].copy().view("<i4").ravel()
+    d = int(index.cuts[-1])
+    head = np.frombuffer(b"".join(c[: d + 8] for c in queries.code), np.uint8).reshape(len(queries), -1)
+    scale, lost = head[:, d:].copy().view("<f4").T
+    q = head[:, :d].copy().view(np.int8) * scale[:, None]
+    which = np.frombuffer(b"".join(c[d + 8 :] for c in queries.code), "<i4")
+    asks = np.repeat(np.arange(len(q)), [(len(c) - d - 8) // 4 for c in queries.code])
     here = np.isin(which, own)
     asks, which = asks[here], which[here]
     order, mine = np.argsort(which, kind="stable"), np.argsort(own, kind="stable")
@@ -166,7 +176,7 @@ def _wanted(index: Index, key, rows: pd.DataFrame, threshold: float) -> pd.DataF
             want_q[c] |= may.any(1)
             want_m[m] |= may.any(0)
     k = np.concatenate([members.k.to_numpy()[want_m], queries.k.to_numpy()[want_q]])
-    return pd.DataFrame({"bucket": key[0], "mblock": key[1], "qblock": key[2], "query": np.arange(len(k)) >= want_m.sum(), "k": k})
+    return pd.DataFrame({"block": block, "query": np.arange(len(k)) >= want_m.sum(), "k": k})
 
 
 def _links(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -213,20 +223,20 @@ def _of_length(spark: SparkSession, reps: DataFrame, n: int, threshold: float, p
     """(k, n, root) per block for entries (k, x, m) of one length."""
     sample = [r["x"] for r in reps.orderBy(F.xxhash64("k", F.lit(3))).limit(SAMPLE).select("x").collect()]
     index = spark.sparkContext.broadcast(Index(sample, n, probes))
-    coded = common.stored(reps.select("k", "x").mapInPandas(lambda frames: (_coded(index.value, f) for f in frames if len(f)), "k long, own int, bucket int, codes binary, error float, probed binary, buckets array<int>, small binary, scale float, lost float"), "codes")
-    members = coded.select("bucket", F.lit(False).alias("query"), "k", F.col("own").alias("at"), F.lit(None).cast("binary").alias("lists"), F.col("codes").alias("code"), "error", F.lit(None).cast("float").alias("scale"))
-    queries = coded.select(F.explode("buckets").alias("bucket"), F.lit(True).alias("query"), "k", F.lit(None).cast("int").alias("at"), F.col("probed").alias("lists"), F.col("small").alias("code"), F.col("lost").alias("error"), "scale")
+    coded = common.stored(reps.select("k", "x").mapInPandas(lambda frames: (_coded(index.value, f) for f in frames if len(f)), "k long, own int, bucket int, held binary, probed binary, buckets array<int>, asked array<binary>"), "codes")
+    members = coded.select("bucket", F.lit(False).alias("query"), "k", F.col("held").alias("code"))
+    queries = coded.select("k", F.explode(F.arrays_zip("buckets", "asked")).alias("a")).select(F.col("a.buckets").alias("bucket"), F.lit(True).alias("query"), "k", F.col("a.asked").alias("code"))
     both = members.union(queries)
     sizes = common.stored(both.groupBy(F.col("bucket").alias("b")).agg(F.greatest(F.lit(1), F.ceil(F.sum((~F.col("query")).cast("int")) / MEMBERS)).cast("int").alias("mb"), F.greatest(F.lit(1), F.ceil(F.sum(F.col("query").cast("int")) / QUERIES)).cast("int").alias("qb")), "buckets")
     dealt = both.join(F.broadcast(sizes), F.col("bucket") == F.col("b"))  # a row for each bucket: LISTS at most
-    mine = F.pmod(F.xxhash64("k", F.lit(5)), F.when(F.col("query"), F.col("qb")).otherwise(F.col("mb"))).cast("int")
+    mine = F.pmod(F.xxhash64("k", F.lit(5)), F.when(F.col("query"), F.col("qb")).otherwise(F.col("mb")))
     dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("mb")).otherwise(F.col("qb")) - 1)))
-    dealt = dealt.select("bucket", F.when(F.col("query"), F.col("other")).otherwise(F.col("mine")).alias("mblock"), F.when(F.col("query"), F.col("mine")).otherwise(F.col("other")).alias("qblock"), "query", "k", "at", "lists", "code", "error", "scale")
-    block = ["bucket", "mblock", "qblock"]
-    wanted = dealt.groupBy(*block).applyInPandas(lambda key, rows: _wanted(index.value, key, rows, threshold), "bucket int, mblock int, qblock int, query boolean, k long")
+    place = lambda m, q: (F.col("bucket").cast("long") * (1 << 25) + m) * (1 << 25) + q
+    dealt = dealt.select(F.when(F.col("query"), place(F.col("other"), F.col("mine"))).otherwise(place(F.col("mine"), F.col("other"))).alias("block"), "query", "k", "code")
+    wanted = dealt.groupBy("block").applyInPandas(lambda key, rows: _wanted(index.value, int(key[0]), rows, threshold), "block long, query boolean, k long")
     whole = reps.select(F.col("k").alias("r"), "x", "m").join(coded.select(F.col("k").alias("c"), "own", "probed"), F.col("r") == F.col("c")).drop("c")
     fetched = wanted.join(whole, F.col("k") == F.col("r")).drop("r")
-    return fetched.groupBy(*block).applyInPandas(lambda key, rows: _links(rows, threshold), "k long, n long, root long")
+    return fetched.groupBy("block").applyInPandas(lambda key, rows: _links(rows, threshold), "k long, n long, root long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, probes: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

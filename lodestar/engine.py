@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from copy import copy
 from datetime import datetime
 from functools import reduce
 
@@ -28,7 +29,7 @@ class Engine:
     DEFAULT_SIZE = 100
 
     def __init__(self, spark: SparkSession, app: Application, tables: dict[str, DataFrame], links: dict[tuple[str, str], DataFrame | str] | None = None, clock: datetime | None = None, keys: dict[str, str] | None = None):
-        self.spark, self.app, self.tables, self.clock, self.keys = spark, app, dict(tables), clock, dict(keys or {})
+        self.spark, self.app, self.tables, self.clock, self.keys = spark, app, copy(tables), clock, dict(keys or {})
         self.links: dict[tuple[str, str], DataFrame] = {}
         self.held: dict[tuple[str, str], str] = {}  # links held in a column of their own table
         self.held_there: dict[tuple[str, str], str] = {}  # and their inverses, held in a column of the other table

@@ -220,8 +220,8 @@ class Aggregates:
         paths = engine.spread(table, m.steps)
         links, rest = engine.split(table, paths[0])
         kind = engine.value_type(table, m.steps)
-        if kind == "TEXT" and m.func in ("SUM", "AVERAGE") and engine.app.options.get("StorageService") == "SpiderService":
-            raise DQLError(f"{m.func} takes no text")  # the row service's metrics don't; the cube's count values
+        if kind == "TEXT" and m.func in ("SUM", "AVERAGE") and engine.app.options.get("text-sums") == "none":
+            raise DQLError(f"{m.func} takes no text")  # an application may have it so; otherwise values are counted
         held = engine.held.get((table.name, links[0].name)) if len(links) == 1 and not links[0].where and not links[0].depth else None
         own = None
         if len(paths) == 1 and not links and (not rest or rest[0].name == "_ID" or not table.field(rest[0].name).collection):

@@ -99,7 +99,7 @@ def test_catalog():
 
 def test_analyzers(spark):
     fields = {"t": {}, "h": {"analyzer": "HTMLAnalyzer"}, "o": {"analyzer": "OpaqueTextAnalyzer"}, "n": {"analyzer": "NullAnalyzer"}}
-    app = Application.from_dict({"A": {"options": {"StorageService": "SpiderService"}, "tables": {"T": {"fields": fields}}}})
+    app = Application.from_dict({"A": {"options": {"text-sums": "none"}, "tables": {"T": {"fields": fields}}}})
     rows = spark.createDataFrame([("1", "a b", '<p class="b">x</p>y', "New York", "z")], "_ID string, t string, h string, o string, n string")
     e = Engine(spark, app, {"T": rows})
     hits = {q: e.select("T", q).count() for q in ("t:b", "h:x", "h:class", "h:'x y'", "o:york", "o:'new york'", "o:'new*'", "n:z", "n=z")}

@@ -36,6 +36,24 @@ def test_memo_starts_anew():
         assert ids.tolist() == enc.library.encode(raw.decode(), add_special_tokens=False).ids
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(list("aAzZéßſKİΣσÅﬁ漢가ªǅ")), st.characters(codec="utf-8", categories=["L"])), min_size=1, max_size=12), min_size=1, max_size=1100))
+def test_joined_words_have_the_librarys_ids(words):
+    enc = tokens.encoder()
+    ids, length = enc._words(words)
+    want = [e.ids for e in enc.library.encode_batch_fast(words, add_special_tokens=False)]
+    assert length.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+    assert enc.closes is not None
+
+
+def test_words_that_close_twice_go_apart():
+    enc = tokens.encoder()
+    words = ["a", "İstanbul", "bc"]
+    ids, length = enc._words(words)
+    want = [e.ids for e in enc.library.encode_batch_fast(words, add_special_tokens=False)]
+    assert length.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 32])
 def test_bits_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1000, dtype=np.uint64).astype(np.uint32)

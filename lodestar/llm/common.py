@@ -6,6 +6,7 @@ import ctypes
 import posixpath
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again."""
+def stored(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Cut the lineage: write df as Parquet in the shared folder, in folders by the last columns if `by` names them, and read it again."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -46,6 +47,18 @@ def forget(*tables: DataFrame) -> None:
         remove(t.sparkSession, t.stored_at)
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession):
+    """Queries that end in here leave no shuffle files, which else stay until the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def file_system(url: str) -> tuple[pafs.FileSystem, str]:
     """A pyarrow file system and the path in it; any URL pyarrow knows, such as file, hdfs or s3."""
     return pafs.FileSystem.from_uri(url if "://" in url or url.startswith("file:") else f"file://{url}")

@@ -6,10 +6,12 @@ id, and the end after the last, is scored once, with at least CONTEXT ids before
 attention in batches.
 
 The classes of ids and the probabilities within classes come from the pairs of neighbouring ids of all training texts, counted into a table in the
-shared folder; what the driver takes from it is summed to at most vocabulary x CLASSES numbers. In the same pass the tasks draw windows
-from all training texts, of any length, by hashes of text and place: a share of SHARE, and of small inputs about LEAST windows or all.
-The driver fits the attention's weights to them by gradient steps, each window once (in turns where they are few), and streams them,
-so that it holds a partition or 2 * LEAST of them at most. The base covers all training texts too: each task turns a chunk of texts into distinct words with counts and sends them,
+shared folder; what the driver takes from it is summed to at most vocabulary x CLASSES numbers. In the same pass the tasks cut all
+training texts, of any length, into windows, which go to the shared folder too. The attention's weights are fitted to all of them by
+gradient steps. Up to 2 * LEAST windows, the driver takes the steps, each window once or in turns. Of more, it takes the first steps by
+about LEAST of them, to give the tasks a common start; then all windows go through ROUNDS rounds, each window in one of them: windows
+are dealt by hashes of text and place into shards of about SHARD windows (MOST shards a round at most, larger ones then), each shard takes its steps
+from the round's weights, and the mean of the shards' weights, by their windows, is the next round's. The base covers all training texts too: each task turns a chunk of texts into distinct words with counts and sends them,
 in blocks by hash range, to be summed; the sums come back to the chunk, which scores its texts. Words are counted by 64-bit hashes.
 
 Null and empty texts are the end alone. Null ids are not held out, so train. Rows that repeat an id are texts of their own. An
@@ -30,10 +32,10 @@ from . import common, tokens
 from .common import U64
 from .ngram_join import MOVED, _delta, _planes, _undelta, _unplanes, hash_range
 
-SHARE, LEAST = 1 / 32, 38_400
+LEAST, SHARD, ROUNDS, MOST, PARTS = 38_400, 4_800, 8, 1024, 16
 WINDOW, CONTEXT, CLASSES, WIDTH, HIDDEN, INPUTS = 64, 32, 128, 32, 64, 4096
 STEP = WINDOW - CONTEXT
-PAIRS_HELD, STEPS = 4 << 20, 800
+PAIRS_HELD, STEPS, RATE = 4 << 20, 800, 4e-3
 CHUNK_BYTES, CHUNK_TEXTS = 24 << 20, 60_000
 
 
@@ -57,15 +59,28 @@ class CorpusPairs:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, vocabulary: str | None, share: float = 0):
         rows = docs.where(~held_out(id_col)).select(F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"), F.col(text_col).alias("t"))
-        found = common.stored(rows.mapInArrow(_count_pairs(vocabulary, share), "p int, i int, c long, h long, w binary"), "windows")
-        self.windows = found.where("w is not null").select("h", "w")
-        self.table = common.stored(found.where("w is null").groupBy("p", "i").agg(F.sum("c").alias("c")), "pairs")
-
-    def drawn(self):
-        """The windows, in an order by hash: rows of the id before and WINDOW ids, -1 after the text's end."""
-        for row in self.windows.orderBy("h", "w").toLocalIterator():
+        found = rows.mapInArrow(_count_pairs(vocabulary, share), "p int, i int, c long, h long, w binary")
+        found = common.stored(found.withColumn("round", F.coalesce(self._place(ROUNDS).cast("int"), F.lit(-1))), "windows", ("round",))
+        self.found = found
+        self.windows = found.where("round >= 0").select("h", "w", "round")
+        self.table = common.stored(found.where("round < 0").groupBy("p", "i").agg(F.sum("c").alias("c")), "pairs")
+
+    def drawn(self, share: float = 1):
+        """The windows, or a share of them, in an order by hash: rows of the id before and WINDOW ids, -1 after the text's end."""
+        rows = self.windows if share == 1 else self.windows.where(self._place(1 << 30) < int(share * (1 << 30)))
+        for row in rows.orderBy("h", "w").toLocalIterator():
             yield np.frombuffer(row["w"], np.int32)
 
+    @staticmethod
+    def _place(n: int):
+        """Which of n equal parts a window's hash is in."""
+        return F.floor(F.shiftrightunsigned("h", 11) * float(n / (1 << 53)))
+
+    def in_round(self, i: int, shards: int) -> DataFrame:
+        """The windows of a round, with their shards (s)."""
+        at = self._place(ROUNDS * shards).cast("int")
+        return self.windows.where(F.col("round") == i).select("h", "w", at.alias("s")).repartition(3 * shards, "s")  # so that few share one
+
     def sums(self, left, right, width):
         def run(batches):
             for b in batches:
@@ -98,7 +113,7 @@ def _count_pairs(vocabulary, share: float):
 
     def windows(h, rows):
         none = pa.nulls(len(h), pa.int32())
-        return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(h), pa.int64()), pa.array(h), pa.array([r.tobytes() for r in rows], pa.binary())], ["p", "i", "c", "h", "w"])
+        return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(h), pa.int64()), pa.array(h), pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(np.arange(len(h) + 1, dtype=np.int32) * np.int32(4 * (WINDOW + 1))), pa.py_buffer(np.ascontiguousarray(rows))])], ["p", "i", "c", "h", "w"])
 
     def run(batches):
         enc, held, n = tokens.encoder(vocabulary), [], 0
@@ -158,19 +173,26 @@ def _cluster(pairs, count: np.ndarray, k: int) -> np.ndarray:
 
 
 def _norm(x):
-    r = np.sqrt((x * x).mean(-1, keepdims=True) + np.float32(1e-5))
-    return x / r, r
+    r = _dots(x, x)
+    r *= np.float32(1 / x.shape[-1])
+    r += np.float32(1e-5)
+    r = (np.float32(1) / np.sqrt(r))[..., None]
+    return x * r, r
 
 
 def _normed(x):
-    r = np.einsum("ij,ij->i", x, x)
-    r *= np.float32(1 / x.shape[1])
-    r += np.float32(1e-5)
-    return x * (np.float32(1) / np.sqrt(r))[:, None]
+    return _norm(x)[0]
 
 
 def _norm_back(dy, y, r):
-    return (dy - y * (dy * y).mean(-1, keepdims=True)) / r
+    """By what the normed rows y, made with the factors r, hand back; in place of dy."""
+    dy -= y * (_dots(dy, y) * np.float32(1 / y.shape[-1]))[..., None]
+    dy *= r
+    return dy
+
+
+def _dots(x, y):
+    return np.einsum("...j,...j->...", x, y)
 
 
 def _by(x, w):
@@ -178,11 +200,11 @@ def _by(x, w):
     return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[1])
 
 
-def _softmax(x):
-    x -= x.max(-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
-    return x
+def _exp(x):
+    """Exponents in place; without their rows' maximum, which costs more, where they are small enough."""
+    if not (x.max() < 60 and x.min() > -60):
+        x -= x.max(-1, keepdims=True)
+    return np.exp(x, out=x)
 
 
 def _in_turns(drawn, batch: int):
@@ -212,19 +234,60 @@ def _at_random(texts: list[np.ndarray], r: np.random.Generator, batch: int, end:
         yield prev[grid], ids[grid], valid
 
 
+_SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+
+
+def _shard(sent, rates: tuple[float, float], batch: int):
+    """A shard's windows: steps with each of them once, from the round's weights to the shard's, times its windows."""
+
+    def run(key, table):
+        table = table.combine_chunks()
+        w = table.column("w").chunk(0)
+        at = np.frombuffer(w.buffers()[1], np.int32)[w.offset : w.offset + len(w) + 1]
+        grid = np.frombuffer(w.buffers()[2], np.uint8)[at[0] : at[-1]].view(np.int32).reshape(len(w), WINDOW + 1)
+        rows = grid[np.argsort(table.column("h").to_numpy(), kind="stable")]
+        light = sent.value
+        m = Model(light.end)
+        m.cls, m.input = light.cls, light.input
+        m.params, m.squares = ({k: x.copy() for k, x in d.items()} for d in (light.params, light.squares))
+        steps = -(-len(rows) // batch)
+        cut = np.linspace(0, len(rows), steps + 1).astype(int)
+
+        def draws():
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                part = rows[a:b].astype(np.int64)
+                valid = part[:, 1:] >= 0
+                part = np.maximum(part, 0)
+                yield part[:, :-1], part[:, 1:], valid
+
+        m._steps(draws(), steps, lambda s: rates[0] + (rates[1] - rates[0]) * s / steps, 1000)
+        flat = np.concatenate([x.ravel() for x in m.params.values()]) * len(rows)
+        return pa.table({"s": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(rows)]), "w": pa.array([flat.astype(np.float32).tobytes()], pa.binary())})
+
+    return run
+
+
+def _total(key, table):
+    """Shards' weights summed in the shards' order."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("s", "n", "w")), strict=True), key=lambda x: x[0])
+    total = np.zeros(len(rows[0][2]) // 4)
+    for _, _, w in rows:
+        total += np.frombuffer(w, np.float32)
+    return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([sum(x[1] for x in rows)]), "w": pa.array([total.tobytes()], pa.binary())})
+
+
 class Model:
     def __init__(self, end: int):
         self.end, self.params = end, None  # uniform
 
     def fit(self, texts: list[np.ndarray] | None = None, steps: int = STEPS, batch: int = 48, seed: int = 7, pairs: CorpusPairs | None = None) -> "Model":
-        """By texts in memory (ids with the end), or by pairs and windows of a corpus, which may take more steps."""
+        """By texts in memory (ids with the end), or by pairs and all windows of a corpus, which may take more steps."""
         n, r = self.end + 1, np.random.default_rng(seed)
         if texts is None:
-            given, drawn = pairs.windows.count(), pairs.drawn
-            if given <= 2 * LEAST:
-                held = list(pairs.drawn())
-                drawn = lambda: (held[i] for i in r.permutation(given))
-            steps, draws = max(steps, -(-given // batch)), _in_turns(drawn, batch)
+            given = pairs.windows.count()
+            held = list(pairs.drawn(1 if given <= 2 * LEAST else LEAST / given))
+            steps, draws = max(steps, -(-len(held) // batch)), _in_turns(lambda: (held[i] for i in r.permutation(len(held))), batch)
         else:
             draws = _at_random(texts, r, batch, self.end)
         pairs = pairs or Pairs(texts, self.end)
@@ -244,26 +307,65 @@ class Model:
         self.input[order[:INPUTS]] = np.arange(min(INPUTS, n))
         d, f32 = WIDTH, np.float32
         init = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(f32)
-        p = self.params = {"e": (r.standard_normal((INPUTS + CLASSES, d)) * 0.5).astype(f32), "pos": (r.standard_normal((WINDOW, d)) * 0.1).astype(f32), "q": init(d, d), "k": init(d, d), "v": init(d, d), "o": init(d, d), "a": init(d, HIDDEN), "b": init(HIDDEN, d), "w": init(d, CLASSES), "c": np.log((np.bincount(self.cls, within, CLASSES) + 1e-3) / within.sum()).astype(f32)}
+        p = self.params = {"e": (r.standard_normal((INPUTS + CLASSES, d)) * 0.5).astype(f32), "pos": (r.standard_normal((WINDOW, d)) * 0.1).astype(f32), "qk": (init(d, d) @ init(d, d).T / np.sqrt(d)).astype(f32), "vo": init(d, d) @ init(d, d), "a": init(d, HIDDEN), "b": init(HIDDEN, d), "w": init(d, CLASSES), "c": np.log((np.bincount(self.cls, within, CLASSES) + 1e-3) / within.sum()).astype(f32)}
+        self.squares = {k: np.zeros_like(x) for k, x in p.items()}
+        many = texts is None and given > 2 * LEAST
+        self._steps(draws, steps, lambda s: RATE * min(1, s / 30) * (1 if many else 1 - s / (steps + 1)) + 1e-5)
+        self.trained = len(held) if texts is None else 0
+        if many:
+            self._rounds(pairs, given, batch)
+        del self.squares
+        return self._fold()
+
+    def _steps(self, draws, steps: int, rate, before: int = 0) -> None:
+        """Gradient steps; those after `before` others start from their mean squares of gradients."""
+        p, v = self.params, self.squares
         m = {k: np.zeros_like(x) for k, x in p.items()}
-        v = {k: np.zeros_like(x) for k, x in p.items()}
         for s in range(1, steps + 1):
-            before, ids, valid = next(draws)
-            g = self._gradients(self.input[before], self.cls[ids], valid)
-            rate = 4e-3 * min(1, s / 30) * (1 - s / (steps + 1)) + 1e-5
+            prev, ids, valid = next(draws)
+            g = self._gradients(self.input[prev], self.cls[ids], valid)
+            a, b, c = np.float32(rate(s) / (1 - 0.9**s)), np.float32(1 - 0.98 ** (s + before)), np.float32(1e-8)
             for k in p:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                v[k] = 0.98 * v[k] + 0.02 * g[k] * g[k]
-                p[k] -= (rate * (m[k] / (1 - 0.9**s)) / (np.sqrt(v[k] / (1 - 0.98**s)) + 1e-8)).astype(f32)
-        return self._fold()
+                m[k] *= np.float32(0.9)
+                m[k] += np.float32(0.1) * g[k]
+                v[k] *= np.float32(0.98)
+                g[k] *= g[k]
+                g[k] *= np.float32(0.02)
+                v[k] += g[k]
+                d = v[k] / b
+                np.sqrt(d, out=d)
+                d += c
+                np.divide(m[k], d, out=d)
+                d *= a
+                p[k] -= d
+
+    def _rounds(self, pairs: CorpusPairs, given: int, batch: int) -> None:
+        """All windows of a corpus: see the module's docstring."""
+        shards = min(MOST, max(1, -(-given // (ROUNDS * SHARD))))
+        spark, self.trained = pairs.windows.sparkSession, 0
+        for i in range(ROUNDS):
+            light = Model(self.end)
+            light.params, light.squares, light.cls, light.input = self.params, self.squares, self.cls, self.input
+            sent = spark.sparkContext.broadcast(light)
+            rates = RATE * (1 - i / ROUNDS), RATE * (1 - (i + 1) / ROUNDS) + 1e-5
+            each = pairs.in_round(i, shards).groupBy("s").applyInArrow(_shard(sent, rates, batch), "s int, n long, w binary")
+            with common.brief_shuffles(spark):
+                parts = each.withColumn("g", F.col("s") % PARTS).groupBy("g").applyInArrow(_total, "g int, n long, w binary").collect()
+            sent.destroy()
+            if not parts:
+                continue
+            parts = sorted(parts, key=lambda x: x["g"])
+            n = sum(x["n"] for x in parts)
+            mean, at = sum(np.frombuffer(x["w"]) for x in parts) / n, 0
+            for k, x in self.params.items():
+                self.params[k] = mean[at : at + x.size].reshape(x.shape).astype(np.float32)
+                at += x.size
+            self.trained += n
 
     def _fold(self) -> "Model":
-        """Products of weights that scoring needs, and whether exponents are small enough to go without their maximum."""
+        """Whether exponents are surely small enough to go without their maximum."""
         p = self.params
-        self.qk = (p["q"] @ p["k"].T / np.sqrt(WIDTH)).astype(np.float32)
-        self.vo = p["v"] @ p["o"]
-        self.seen = np.tril(np.ones((WINDOW, WINDOW), np.float32))
-        bound = WIDTH * float(np.linalg.norm(self.qk, 2)), float(np.sqrt(WIDTH) * np.linalg.norm(p["w"], axis=0).max() + np.abs(p["c"]).max())
+        bound = WIDTH * float(np.linalg.norm(p["qk"], 2)), float(np.sqrt(WIDTH) * np.linalg.norm(p["w"], axis=0).max() + np.abs(p["c"]).max())
         self.small = bound[0] < 60, bound[1] < 60  # normed rows are at most sqrt(WIDTH) long
         return self
 
@@ -274,72 +376,87 @@ class Model:
         x = p["e"][x_ids]
         x += p["pos"][:t]
         keys = _normed(x.reshape(-1, WIDTH)).reshape(b, t, WIDTH)
-        att = _by(keys[:, skip:], self.qk) @ keys.transpose(0, 2, 1)
-        if not self.small[0]:
-            att += self._mask[skip:t, :t]
+        att = _by(keys[:, skip:], p["qk"]) @ keys.transpose(0, 2, 1)
+        if not self.small[0] and not (att.max() < 60 and att.min() > -60):
+            att += _MASK[skip:t, :t]
             att -= att.max(-1, keepdims=True)
         np.exp(att, out=att)
-        att *= self.seen[skip:t, :t]
+        att *= _SEEN[skip:t, :t]
         got = (att @ keys).reshape(-1, WIDTH)
-        got *= (np.float32(1) / (att.reshape(-1, t) @ self.seen[-1, :t]))[:, None]  # a product sums faster
+        got *= (np.float32(1) / (att.reshape(-1, t) @ _SEEN[-1, :t]))[:, None]  # a product sums faster
         own, pick = x[:, skip:], scored[:, skip:]
         if pick.all():
-            h = (got @ self.vo).reshape(own.shape)
+            h = (got @ p["vo"]).reshape(own.shape)
             h += own
             h = h.reshape(-1, WIDTH)
         else:
-            h = got[pick.ravel()] @ self.vo
+            h = got[pick.ravel()] @ p["vo"]
             h += own[pick]
         u = _normed(h) @ p["a"]
         np.maximum(u, 0, out=u)
         h += u @ p["b"]
         return _normed(h)
 
-    _mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
-
     def _forward(self, x_ids):
         p = self.params
-        x = p["e"][x_ids] + p["pos"][: x_ids.shape[1]]
+        b, t = x_ids.shape
+        x = p["e"][x_ids]
+        x += p["pos"][:t]
         n1, r1 = _norm(x)
-        q, k, v = (_by(n1, p[w]) for w in "qkv")
-        att = q @ k.transpose(0, 2, 1)
-        att *= np.float32(1 / np.sqrt(WIDTH))
-        att += self._mask[: x_ids.shape[1], : x_ids.shape[1]]
-        att = _softmax(att)
-        av = att @ v
-        h = x + _by(av, p["o"])
+        q = _by(n1, p["qk"])
+        att = q @ n1.transpose(0, 2, 1)
+        if not (att.max() < 60 and att.min() > -60):
+            att += _MASK[:t, :t]
+        _exp(att)
+        att *= _SEEN[:t, :t]
+        att *= (np.float32(1) / (att.reshape(-1, t) @ _SEEN[-1, :t])).reshape(b, t, 1)  # a product sums faster
+        av = att @ n1
+        h = _by(av, p["vo"])
+        h += x
         n2, r2 = _norm(h)
-        u = np.maximum(_by(n2, p["a"]), 0)
-        z = h + _by(u, p["b"])
+        u = _by(n2, p["a"])
+        np.maximum(u, 0, out=u)
+        z = _by(u, p["b"])
+        z += h
         n3, r3 = _norm(z)
-        return n1, r1, q, k, v, att, av, n2, r2, u, n3, r3
+        return n1, r1, q, att, av, h, n2, r2, u, z, n3, r3
 
     def _gradients(self, x_ids, y, valid):
         p = self.params
-        n1, r1, q, k, v, att, av, n2, r2, u, n3, r3 = self._forward(x_ids)
-        prob = _softmax(_by(n3, p["w"]) + p["c"])
+        n1, r1, q, att, av, _, n2, r2, u, _, n3, r3 = self._forward(x_ids)
         b, t = y.shape
-        prob[np.arange(b)[:, None], np.arange(t), y] -= 1
-        dl = prob * (valid / valid.sum())[..., None].astype(np.float32)
         flat = lambda a: a.reshape(-1, a.shape[-1])
-        g = {"w": flat(n3).T @ flat(dl), "c": flat(dl).sum(0)}
-        dz = _norm_back(_by(dl, p["w"].T), n3, r3)
+        dl = flat(n3) @ p["w"]
+        dl += p["c"]
+        _exp(dl)
+        weight = (valid.ravel() / valid.sum()).astype(np.float32)
+        dl *= (weight / (dl @ np.ones(CLASSES, np.float32)))[:, None]
+        dl[np.arange(b * t), y.ravel()] -= weight
+        g = {"w": flat(n3).T @ dl, "c": dl.sum(0)}
+        dz = _norm_back((dl @ p["w"].T).reshape(n3.shape), n3, r3)
         g["b"] = flat(u).T @ flat(dz)
-        du = _by(dz, p["b"].T) * (u > 0)
+        du = _by(dz, p["b"].T)
+        du *= u > 0
         g["a"] = flat(n2).T @ flat(du)
-        dh = dz + _norm_back(_by(du, p["a"].T), n2, r2)
-        g["o"] = flat(av).T @ flat(dh)
-        dav = _by(dh, p["o"].T)
-        datt = dav @ v.transpose(0, 2, 1)
-        dv = att.transpose(0, 2, 1) @ dav
-        ds = att * (datt - (datt * att).sum(-1, keepdims=True)) * np.float32(1 / np.sqrt(WIDTH))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["q"], g["k"], g["v"] = (flat(n1).T @ flat(a) for a in (dq, dk, dv))
-        dx = dh + _norm_back(_by(dq, p["q"].T) + _by(dk, p["k"].T) + _by(dv, p["v"].T), n1, r1)
-        cells = x_ids.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
-        g["e"] = np.bincount(cells.ravel(), dx.ravel(), p["e"].size).reshape(p["e"].shape).astype(np.float32)
+        dz += _norm_back(_by(du, p["a"].T), n2, r2)
+        g["vo"] = flat(av).T @ flat(dz)
+        dav = _by(dz, p["vo"].T)
+        ds = dav @ n1.transpose(0, 2, 1)
+        ds -= _dots(dav, av)[..., None]
+        ds *= att
+        dq = ds @ n1
+        g["qk"] = flat(n1).T @ flat(dq)
+        dn = _by(dq, p["qk"].T)
+        dn += ds.transpose(0, 2, 1) @ q
+        dn += att.transpose(0, 2, 1) @ dav
+        dz += _norm_back(dn, n1, r1)
+        order = np.argsort(x_ids.ravel().astype(np.uint16), kind="stable")
+        ids = x_ids.ravel()[order]
+        first = np.flatnonzero(np.diff(ids, prepend=-1))
+        g["e"] = np.zeros_like(p["e"])
+        g["e"][ids[first]] = np.add.reduceat(flat(dz)[order], first)
         g["pos"] = np.zeros_like(p["pos"])
-        g["pos"][:t] = dx.sum(0)
+        g["pos"][:t] = dz.sum(0)
         return g
 
     def log10(self, ids: np.ndarray, upto: np.ndarray, batch: int = 96) -> np.ndarray:
@@ -367,7 +484,7 @@ class Model:
             rows, y = self._hidden(x_in[grid], scored, int((s - a)[w].min())), grid[scored]
             z = rows @ p["w"]
             bias = p["c"]
-            if not self.small[1]:
+            if not self.small[1] and not (z.max() + bias.max() < 60 and z.min() + bias.min() > -60):
                 z += bias
                 z -= z.max(1, keepdims=True)
                 bias = np.zeros_like(bias)
@@ -385,13 +502,15 @@ def held_out(id_col: str):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> Model:
-    """A model: classes and their ids' probabilities by all training texts, the attention by windows from all of them."""
-    n, size = docs.where(~held_out(id_col)).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    """A model: classes and their ids' probabilities, and the attention's weights, by all training texts."""
+    n = docs.where(~held_out(id_col)).count()
     end = tokens.encoder(vocabulary).library.get_vocab_size()
     if not n:
         return Model(end)
-    share = min(1.0, max(SHARE, LEAST * WINDOW * 4 / (size + n)))  # about 4 bytes an id
-    return Model(end).fit(pairs=CorpusPairs(docs, id_col, text_col, vocabulary, share))
+    pairs = CorpusPairs(docs, id_col, text_col, vocabulary, 1.0)
+    model = Model(end).fit(pairs=pairs)
+    common.forget(pairs.found, pairs.table)
+    return model
 
 
 # --------------------------------------------------------------------------- the base, and both

@@ -184,6 +184,46 @@ def test_windows_of_the_corpus(spark):
     assert 0.2 * len(every) < some < 0.3 * len(every)
 
 
+def test_all_windows_train(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST", 40)
+    monkeypatch.setattr(lm, "SHARD", 64)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pairs = lm.CorpusPairs(docs, "doc_id", "text", None, 1.0)
+    every = Counter(bytes(r["w"]) for r in pairs.windows.collect())
+    n = sum(every.values())
+    assert n > 8 * 64 and sum((Counter(bytes(r["w"]) for r in pairs.in_round(i, 3).collect()) for i in range(lm.ROUNDS)), Counter()) == every
+    assert 20 < len(list(pairs.drawn(40 / n))) < 60
+    fitted, again = lm.train(docs), lm.train(docs.repartition(5))
+    assert fitted.trained == again.trained == n  # steps are taken with every window
+    assert all(np.array_equal(x, again.params[k]) for k, x in fitted.params.items())  # however the rows are dealt
+    few = lm.Model(fitted.end)
+    monkeypatch.setattr(lm.Model, "_rounds", lambda *_: None)
+    few.fit(pairs=pairs)
+    grids = [(np.maximum(g, 0), g[1:] >= 0) for g in (np.frombuffer(w, np.int32) for w in every)]
+    loss = lambda m: -sum(np.log(p[np.arange(lm.WINDOW), m.cls[g[1:]]])[ok].sum() for g, ok in grids for p in [_classes(m, m.input[g[None, :-1]])])
+    assert loss(fitted) < loss(few)
+
+
+def _classes(m, x_ids):
+    z = np.exp(m._forward(x_ids)[10][0].astype(float) @ m.params["w"] + m.params["c"])
+    return z / z.sum(1, keepdims=True)
+
+
+def test_gradients(model):
+    m, texts = model
+    x, y, ok = next(lm._at_random(texts, np.random.default_rng(5), 4, 60))
+    x, y, ok = m.input[x], m.cls[y], ok & (np.arange(lm.WINDOW) < 50)
+    loss = lambda: -sum(np.log(_classes(m, x[i : i + 1])[np.arange(lm.WINDOW), y[i]])[ok[i]].sum() for i in range(4)) / ok.sum()
+    g, r = m._gradients(x, y, ok), np.random.default_rng(6)
+    for k, old in list(m.params.items()):
+        way = (g[k] / np.sqrt((g[k] ** 2).sum()) + 0.1 * r.standard_normal(old.shape) / np.sqrt(old.size)).astype(np.float32)
+        m.params[k] = old + np.float32(3e-3) * way
+        up = loss()
+        m.params[k] = old - np.float32(3e-3) * way
+        slope, m.params[k] = (up - loss()) / 6e-3, old
+        assert abs(slope - (g[k] * way).sum()) < 0.02 * abs(slope) + 1e-5
+
+
 def test_long_texts_train(spark):
     long = "one two three four " * 4000
     docs = spark.createDataFrame([(i, long) for i in range(1, 4)], "doc_id long, text string")

@@ -36,6 +36,7 @@ LEAST, SHARD, ROUNDS, MOST, PARTS = 38_400, 4_800, 8, 1024, 16
 WINDOW, CONTEXT, CLASSES, WIDTH, HIDDEN, INPUTS = 64, 32, 128, 32, 64, 4096
 STEP = WINDOW - CONTEXT
 PAIRS_HELD, STEPS, RATE = 4 << 20, 800, 4e-3
+TOGETHER, SPAN = 12, 1 << 14
 CHUNK_BYTES, CHUNK_TEXTS = 24 << 20, 60_000
 
 
@@ -200,11 +201,15 @@ def _by(x, w):
     return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[1])
 
 
-def _exp(x):
-    """Exponents in place; without their rows' maximum, which costs more, where they are small enough."""
-    if not (x.max() < 60 and x.min() > -60):
-        x -= x.max(-1, keepdims=True)
-    return np.exp(x, out=x)
+def _flat(arrays: dict) -> np.ndarray:
+    """All arrays in one."""
+    return np.concatenate([x.ravel() for x in arrays.values()])
+
+
+def _views(flat: np.ndarray, like: dict) -> dict:
+    """Such an array's parts, in the shapes of `like`."""
+    cut = np.cumsum([0] + [x.size for x in like.values()])
+    return {k: flat[a:b].reshape(x.shape) for (k, x), a, b in zip(like.items(), cut[:-1], cut[1:], strict=True)}
 
 
 def _in_turns(drawn, batch: int):
@@ -242,6 +247,7 @@ def _shard(sent, rates: tuple[float, float], batch: int):
     """A shard's windows: steps with each of them once, from the round's weights to the shard's, times its windows."""
 
     def run(key, table):
+        common.keep_memory()
         table = table.combine_chunks()
         w = table.column("w").chunk(0)
         at = np.frombuffer(w.buffers()[1], np.int32)[w.offset : w.offset + len(w) + 1]
@@ -250,7 +256,7 @@ def _shard(sent, rates: tuple[float, float], batch: int):
         light = sent.value
         m = Model(light.end)
         m.cls, m.input = light.cls, light.input
-        m.params, m.squares = ({k: x.copy() for k, x in d.items()} for d in (light.params, light.squares))
+        m.params, m.squares = light.params, light.squares  # the steps copy them
         steps = -(-len(rows) // batch)
         cut = np.linspace(0, len(rows), steps + 1).astype(int)
 
@@ -279,7 +285,7 @@ def _total(key, table):
 
 class Model:
     def __init__(self, end: int):
-        self.end, self.params = end, None  # uniform
+        self.end, self.params, self.space = end, None, None  # uniform
 
     def fit(self, texts: list[np.ndarray] | None = None, steps: int = STEPS, batch: int = 48, seed: int = 7, pairs: CorpusPairs | None = None) -> "Model":
         """By texts in memory (ids with the end), or by pairs and all windows of a corpus, which may take more steps."""
@@ -315,29 +321,35 @@ class Model:
         if many:
             self._rounds(pairs, given, batch)
         del self.squares
+        self.space = None
         return self._fold()
 
     def _steps(self, draws, steps: int, rate, before: int = 0) -> None:
         """Gradient steps; those after `before` others start from their mean squares of gradients."""
-        p, v = self.params, self.squares
-        m = {k: np.zeros_like(x) for k, x in p.items()}
+        p, v = _flat(self.params), _flat(self.squares)
+        m, g = np.zeros_like(p), np.zeros_like(p)
+        parts, scratch = _views(g, self.params), np.empty(SPAN, np.float32)
+        self.params, self.squares = _views(p, self.params), _views(v, self.squares)
         for s in range(1, steps + 1):
             prev, ids, valid = next(draws)
-            g = self._gradients(self.input[prev], self.cls[ids], valid)
+            self._gradients(self.input[prev], self.cls[ids], valid, parts)
             a, b, c = np.float32(rate(s) / (1 - 0.9**s)), np.float32(1 - 0.98 ** (s + before)), np.float32(1e-8)
-            for k in p:
-                m[k] *= np.float32(0.9)
-                m[k] += np.float32(0.1) * g[k]
-                v[k] *= np.float32(0.98)
-                g[k] *= g[k]
-                g[k] *= np.float32(0.02)
-                v[k] += g[k]
-                d = v[k] / b
+            for i in range(0, len(p), SPAN):  # few at a time, which stay in the processor's cache
+                at = slice(i, i + SPAN)
+                mi, vi, gi = m[at], v[at], g[at]
+                d = scratch[: len(gi)]
+                mi *= np.float32(0.9)
+                mi += np.multiply(gi, np.float32(0.1), out=d)
+                vi *= np.float32(0.98)
+                gi *= gi
+                gi *= np.float32(0.02)
+                vi += gi
+                np.divide(vi, b, out=d)
                 np.sqrt(d, out=d)
                 d += c
-                np.divide(m[k], d, out=d)
+                np.divide(mi, d, out=d)
                 d *= a
-                p[k] -= d
+                p[at] -= d
 
     def _rounds(self, pairs: CorpusPairs, given: int, batch: int) -> None:
         """All windows of a corpus: see the module's docstring."""
@@ -369,14 +381,16 @@ class Model:
         self.small = bound[0] < 60, bound[1] < 60  # normed rows are at most sqrt(WIDTH) long
         return self
 
-    def _hidden(self, x_ids: np.ndarray, scored: np.ndarray, skip: int = 0) -> np.ndarray:
-        """What _forward gives last, for the scored places only; none of the first `skip` is scored."""
+    def _hidden(self, x_ids: np.ndarray, scored: np.ndarray | None, skip: int, space: tuple) -> np.ndarray:
+        """What _forward gives as n3, for the scored places only; none of the first `skip` is scored, and if `scored` is None, all others are."""
         p = self.params
         b, t = x_ids.shape
-        x = p["e"][x_ids]
+        x = space[0][: b * t].reshape(b, t, WIDTH)
+        np.take(p["e"], x_ids, 0, out=x, mode="clip")  # no id is clipped: the other mode copies
         x += p["pos"][:t]
         keys = _normed(x.reshape(-1, WIDTH)).reshape(b, t, WIDTH)
-        att = _by(keys[:, skip:], p["qk"]) @ keys.transpose(0, 2, 1)
+        att = space[1][: b * (t - skip) * t].reshape(b, t - skip, t)
+        np.matmul(_by(keys[:, skip:], p["qk"]), keys.transpose(0, 2, 1), out=att)
         if not self.small[0] and not (att.max() < 60 and att.min() > -60):
             att += _MASK[skip:t, :t]
             att -= att.max(-1, keepdims=True)
@@ -384,83 +398,110 @@ class Model:
         att *= _SEEN[skip:t, :t]
         got = (att @ keys).reshape(-1, WIDTH)
         got *= (np.float32(1) / (att.reshape(-1, t) @ _SEEN[-1, :t]))[:, None]  # a product sums faster
-        own, pick = x[:, skip:], scored[:, skip:]
-        if pick.all():
-            h = (got @ p["vo"]).reshape(own.shape)
-            h += own
-            h = h.reshape(-1, WIDTH)
+        own = x[:, skip:]
+        if scored is None:
+            h = got @ p["vo"]
+            h += own.reshape(-1, WIDTH)
         else:
+            pick = scored[:, skip:]
             h = got[pick.ravel()] @ p["vo"]
             h += own[pick]
         u = _normed(h) @ p["a"]
-        np.maximum(u, 0, out=u)
+        np.maximum(u, np.float32(0), out=u)
         h += u @ p["b"]
         return _normed(h)
 
-    def _forward(self, x_ids):
+    def _forward(self, x_ids, att=None, small: bool = False):
+        """All that gradients need, attention as exponents; `share`, the last, is one over their sums."""
         p = self.params
         b, t = x_ids.shape
-        x = p["e"][x_ids]
+        x = p["e"].take(x_ids, 0)
         x += p["pos"][:t]
         n1, r1 = _norm(x)
         q = _by(n1, p["qk"])
-        att = q @ n1.transpose(0, 2, 1)
-        if not (att.max() < 60 and att.min() > -60):
+        att = np.matmul(q, n1.transpose(0, 2, 1), out=att)
+        if not small and not (att.max() < 60 and att.min() > -60):
             att += _MASK[:t, :t]
-        _exp(att)
+            att -= att.max(-1, keepdims=True)
+        np.exp(att, out=att)
         att *= _SEEN[:t, :t]
-        att *= (np.float32(1) / (att.reshape(-1, t) @ _SEEN[-1, :t])).reshape(b, t, 1)  # a product sums faster
+        share = (np.float32(1) / (att.reshape(-1, t) @ _SEEN[-1, :t])).reshape(b, t, 1)  # a product sums faster
         av = att @ n1
+        av *= share
         h = _by(av, p["vo"])
         h += x
         n2, r2 = _norm(h)
         u = _by(n2, p["a"])
-        np.maximum(u, 0, out=u)
+        np.maximum(u, np.float32(0), out=u)
         z = _by(u, p["b"])
         z += h
         n3, r3 = _norm(z)
-        return n1, r1, q, att, av, h, n2, r2, u, z, n3, r3
+        return n1, r1, q, att, av, h, n2, r2, u, z, n3, r3, share
+
+    def _gradients(self, x_ids, y, valid, out: dict | None = None):
+        """By all parameters, of the mean loss of the valid places; windows go a few at a time, so that what they need stays in the cache."""
+        p = self.params
+        g = out or {k: np.zeros_like(x) for k, x in p.items()}
+        for x in g.values():
+            x[...] = 0
+        b, t = y.shape
+        few = min(b, TOGETHER)
+        if self.space is None or self.space[0].shape[:2] != (few, t):
+            self.space = np.empty((few, t, t), np.float32), np.empty((few, t, t), np.float32), np.empty((few * t, CLASSES), np.float32)
+        small = WIDTH * float(np.sqrt((p["qk"] ** 2).sum())) < 60, float(np.sqrt(WIDTH) * np.linalg.norm(p["w"], axis=0).max() + np.abs(p["c"]).max()) < 60
+        weight = (valid / valid.sum()).astype(np.float32)
+        for i in range(0, b, few):
+            some = x_ids[i : i + few]
+            dz = self._part(some, y[i : i + few], weight[i : i + few], small, g)
+            np.add.at(g["e"].reshape(-1), (some.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel(), dz.ravel())  # fast in one dimension
+            g["pos"][:t] += dz.sum(0)
+        return g
 
-    def _gradients(self, x_ids, y, valid):
+    def _part(self, x_ids, y, weight, small, g):
+        """Adds some windows' gradients to g; gives those of their inputs. Sums of exponents divide narrow arrays, not the wide ones."""
         p = self.params
-        n1, r1, q, att, av, _, n2, r2, u, _, n3, r3 = self._forward(x_ids)
         b, t = y.shape
+        att, ds, dl = self.space[0][:b], self.space[1][:b], self.space[2][: b * t]
         flat = lambda a: a.reshape(-1, a.shape[-1])
-        dl = flat(n3) @ p["w"]
-        dl += p["c"]
-        _exp(dl)
-        weight = (valid.ravel() / valid.sum()).astype(np.float32)
-        dl *= (weight / (dl @ np.ones(CLASSES, np.float32)))[:, None]
-        dl[np.arange(b * t), y.ravel()] -= weight
-        g = {"w": flat(n3).T @ dl, "c": dl.sum(0)}
-        dz = _norm_back((dl @ p["w"].T).reshape(n3.shape), n3, r3)
-        g["b"] = flat(u).T @ flat(dz)
+        n1, r1, q, att, av, _, n2, r2, u, _, n3, r3, share = self._forward(x_ids, att, small[0])
+        across = n1.transpose(0, 2, 1)
+        np.matmul(flat(n3), p["w"], out=dl)
+        bias = p["c"]
+        if not small[1]:
+            dl += bias
+            dl -= dl.max(-1, keepdims=True)
+            bias = np.zeros_like(bias)
+        np.exp(dl, out=dl)
+        bias = np.exp(bias)  # as factors of exponents
+        total, label = dl @ bias, y.ravel()
+        dl[np.arange(b * t), label] -= total / bias[label]
+        share_l = (weight.ravel() / total)[:, None]
+        g["w"] += (dl.T @ (flat(n3) * share_l)).T * bias
+        g["c"] += (share_l[:, 0] @ dl) * bias
+        dz = dl @ (p["w"] * bias).T
+        dz *= share_l
+        dz = _norm_back(dz.reshape(n3.shape), n3, r3)
+        g["b"] += flat(u).T @ flat(dz)
         du = _by(dz, p["b"].T)
         du *= u > 0
-        g["a"] = flat(n2).T @ flat(du)
+        g["a"] += (flat(du).T @ flat(n2)).T
         dz += _norm_back(_by(du, p["a"].T), n2, r2)
-        g["vo"] = flat(av).T @ flat(dz)
+        g["vo"] += flat(av).T @ flat(dz)
         dav = _by(dz, p["vo"].T)
-        ds = dav @ n1.transpose(0, 2, 1)
+        dav *= share
+        np.matmul(dav, across, out=ds)
         ds -= _dots(dav, av)[..., None]
         ds *= att
         dq = ds @ n1
-        g["qk"] = flat(n1).T @ flat(dq)
+        g["qk"] += flat(n1).T @ flat(dq)
         dn = _by(dq, p["qk"].T)
         dn += ds.transpose(0, 2, 1) @ q
         dn += att.transpose(0, 2, 1) @ dav
         dz += _norm_back(dn, n1, r1)
-        order = np.argsort(x_ids.ravel().astype(np.uint16), kind="stable")
-        ids = x_ids.ravel()[order]
-        first = np.flatnonzero(np.diff(ids, prepend=-1))
-        g["e"] = np.zeros_like(p["e"])
-        g["e"][ids[first]] = np.add.reduceat(flat(dz)[order], first)
-        g["pos"] = np.zeros_like(p["pos"])
-        g["pos"][:t] = dz.sum(0)
-        return g
+        return dz
 
-    def log10(self, ids: np.ndarray, upto: np.ndarray, batch: int = 96) -> np.ndarray:
-        """log10 probabilities of texts (ids with the end, laid end to end)."""
+    def log10(self, ids: np.ndarray, upto: np.ndarray, batch: int = 32) -> np.ndarray:
+        """log10 probabilities of texts (ids with the end, laid end to end). Batches are small, to stay in the processor's cache."""
         n = np.diff(upto)
         if self.params is None:
             return -n * np.log10(self.end + 1.0)
@@ -471,29 +512,38 @@ class Model:
         stop = np.minimum(s + STEP, n[text])
         previous = np.concatenate([[self.end], ids[:-1]])
         previous[upto[:-1][n > 0]] = self.end
-        x_in, y_cls, y_log = self.input[previous], self.cls[ids], self.logp[self.cls[previous], ids]
-        total = np.zeros(len(text))
-        order = np.argsort(stop - a, kind="stable")  # windows of like lengths go together
-        p = self.params
-        for i in range(0, len(order), batch):
-            w = order[i : i + batch]
-            length = int((stop - a)[w].max())
-            grid = a[w][:, None] + np.arange(length)
-            scored = (grid >= s[w][:, None]) & (grid < stop[w][:, None])
-            grid = np.minimum(grid, n[text[w]][:, None] - 1) + upto[text[w]][:, None]
-            rows, y = self._hidden(x_in[grid], scored, int((s - a)[w].min())), grid[scored]
-            z = rows @ p["w"]
-            bias = p["c"]
-            if not self.small[1] and not (z.max() + bias.max() < 60 and z.min() + bias.min() > -60):
-                z += bias
-                z -= z.max(1, keepdims=True)
-                bias = np.zeros_like(bias)
-            got = z[np.arange(len(y)), y_cls[y]]
-            got += bias[y_cls[y]]
-            np.exp(z, out=z)
-            got -= np.log(z @ np.exp(bias))  # the bias as factors of the sum
-            got += y_log[y]
-            total[w] = np.bincount(np.nonzero(scored)[0], got, len(w))
+        x_in, y_cls = self.input[previous], self.cls[ids]
+        bias = self.params["c"]
+        known = self.logp[self.cls[previous], ids] + bias[y_cls]
+        total, factors = np.zeros(len(text)), np.exp(bias)
+        space = np.empty((batch * WINDOW, WIDTH), np.float32), np.empty(batch * WINDOW * WINDOW, np.float32), np.empty((batch * WINDOW, CLASSES), np.float32)
+        full = stop - a == WINDOW  # then all after the first CONTEXT are scored
+        order = np.flatnonzero(~full)
+        order = order[np.argsort((stop - a)[order], kind="stable")]  # windows of like lengths go together
+        for order, whole in (order, False), (np.flatnonzero(full), True):
+            for i in range(0, len(order), batch):
+                w = order[i : i + batch]
+                if whole:
+                    grid, scored, skip = (upto[text[w]] + a[w])[:, None] + np.arange(WINDOW), None, CONTEXT
+                    y = grid[:, skip:].ravel()
+                else:
+                    grid, skip = a[w][:, None] + np.arange(int((stop - a)[w].max())), int((s - a)[w].min())
+                    scored = (grid >= s[w][:, None]) & (grid < stop[w][:, None])
+                    grid = np.minimum(grid, n[text[w]][:, None] - 1) + upto[text[w]][:, None]
+                    y = grid[scored]
+                rows, z = self._hidden(x_in[grid], scored, skip, space), space[2][: len(y)]
+                np.matmul(rows, self.params["w"], out=z)
+                if self.small[1] or (z.max() + bias.max() < 60 and z.min() + bias.min() > -60):
+                    got = known[y] + z[np.arange(len(y)), y_cls[y]]
+                    np.exp(z, out=z)
+                    got -= np.log(z @ factors)  # the bias as factors of the sum
+                else:
+                    z += bias
+                    top = z.max(-1)
+                    z -= top[:, None]
+                    got = known[y] - bias[y_cls[y]] + z[np.arange(len(y)), y_cls[y]]
+                    got -= np.log(np.exp(z, out=z).sum(-1))
+                total[w] = got.reshape(len(w), -1).sum(1, dtype=np.float64) if whole else np.bincount(np.nonzero(scored)[0], got, len(w))
         return np.bincount(text, total, len(n)) / np.log(10)
 
 
@@ -536,6 +586,7 @@ class _Chunk:
 
 def _deal(model, vocabulary, ranges: int):
     def run(batches):
+        common.keep_memory()
         enc, m = tokens.encoder(vocabulary), model.value
         chunk, serial, task = _Chunk(), 0, TaskContext.get().partitionId()
 

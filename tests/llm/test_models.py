@@ -1,5 +1,6 @@
 import math
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -224,6 +225,24 @@ def test_gradients(model):
         assert abs(slope - (g[k] * way).sum()) < 0.02 * abs(slope) + 1e-5
 
 
+def test_steps_and_scores_take_few_windows_at_a_time(model, monkeypatch):
+    m, texts = model
+    x, y, ok = next(lm._at_random(texts, np.random.default_rng(8), 48, 60))
+    x, y, text = m.input[x], m.cls[y], np.tile(np.append(np.arange(50), 60), 400)
+    for run, most in (lambda: m._gradients(x, y, ok), 4 << 20), (lambda: m.log10(text, np.array([0, len(text)])), 5 << 20):
+        m.space = None
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most
+    whole, score = m._gradients(x, y, ok), m.log10(text[:3000], np.array([0, 3000]))[0]
+    for few in 48, 7, 1:  # with the same results
+        monkeypatch.setattr(lm, "TOGETHER", few)
+        assert all(np.abs(g - whole[k]).max() < 1e-5 * np.abs(whole[k]).max() for k, g in m._gradients(x, y, ok).items())
+        assert abs(m.log10(text[:3000], np.array([0, 3000]), few)[0] - score) < 1e-3
+
+
 def test_long_texts_train(spark):
     long = "one two three four " * 4000
     docs = spark.createDataFrame([(i, long) for i in range(1, 4)], "doc_id long, text string")

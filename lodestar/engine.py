@@ -27,6 +27,8 @@ class Engine:
     """
 
     DEFAULT_SIZE = 100
+    #: Bytes of the files read for a piece of scattered rows, and for one if there are fewer pieces than cores; times the objects' bytes up to which rows are scattered as they are.
+    PIECE, SMALL, FEW = 8 << 20, 1 << 20, 32
 
     def __init__(self, spark: SparkSession, app: Application, tables: dict[str, DataFrame], links: dict[tuple[str, str], DataFrame | str] | None = None, clock: datetime | None = None, keys: dict[str, str] | None = None):
         self.spark, self.app, self.tables, self.clock, self.keys = spark, app, copy(tables), clock, dict(keys or {})
@@ -175,6 +177,17 @@ class Engine:
             t = target
         return rows, ident, many
 
+    def scattered(self, rows: DataFrame, table: Table, *keys: str) -> DataFrame:
+        """Rows over links of a table's objects, by keys in pieces whose number grows with the files read, so that what a task then holds of them does not.
+
+        Where objects have many rows each on average, these are left to be merged before they travel; so are rows of unknown size.
+        """
+        size, own = read_bytes(rows), read_bytes(self.frame(table))
+        if not size or size > self.FEW * own:
+            return rows
+        cores = self.spark.sparkContext.defaultParallelism
+        return rows.repartition(max(-(-size // self.PIECE), min(cores, -(-size // self.SMALL))), *keys)
+
     def looks_up(self, table: Table, steps: tuple) -> bool:
         """Whether a path leads over foreign keys that each object holds itself, so to one object at most."""
         for s in steps:
@@ -300,6 +313,13 @@ class Engine:
         return self.aggregates.run(t, [(self.select(table, q), self.parser(t, cf).group_sets()[0])], self.parser(t, m).metrics(), composite=True, whole=q == "*")
 
 
+def read_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a plan reads, those read twice counted twice; 0 where it reads what has no size."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(sizes) if all(n < 1 << 58 for n in sizes) else 0
+
+
 def closure(edges: DataFrame, depth: int = -1, most: int = 40) -> DataFrame:
     """Pairs reachable over edges (without an object itself), in depth steps or until nothing is new.
 

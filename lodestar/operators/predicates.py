@@ -317,7 +317,8 @@ class Predicates:
             parts.append(rows.where("value is not null").select("src", "value", F.lit(is_left).alias("l"), F.lit(1 - is_left).alias("r")))
         if len(set(idents)) > 1:  # keys' texts are _IDs
             ident, parts = F.col("_ID"), [p.withColumn("src", F.col("src").cast("string")) for p in parts]
-        per = parts[0].union(parts[1]).groupBy("src", "value").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+        rows = self.engine.scattered(parts[0].union(parts[1]), table, "src", "value")
+        per = rows.groupBy("src", "value").agg(F.max("l").alias("l"), F.max("r").alias("r"))
         per = per.groupBy(F.col("src").alias("_ID")).agg(F.sum(F.col("l") * F.col("r")).alias("both"), F.sum("l").alias("l"), F.sum("r").alias("r"))
         same = (F.col("l") == F.col("both")) & (F.col("r") == F.col("both"))
         meet = F.col("both") > 0

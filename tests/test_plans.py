@@ -1,10 +1,17 @@
 """What the plans read: links by foreign keys take no edges, no ids and no self-joins."""
 
+import os
 import re
+from functools import reduce
 
+import duckdb
 import pytest
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lodestar.features import QUERIES
+from lodestar import star
+from lodestar.engine import Engine
+from lodestar.features import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 #: query, table, how often it is scanned at most, the columns read in all
@@ -51,3 +58,48 @@ def test_top_level_tops_take_no_global_window(spark):
     text = plan(QUERIES["g11_nested_top"](spark, SF))
     assert "TakeOrderedAndProject" in text
     assert all("_l" in w for w in re.findall(r"Window \[[^\]]*\], \[([^\]]*)\]", text))
+
+
+@pytest.fixture(scope="module")
+def larger(spark, tmp_path_factory):
+    """The tables with orders, items and parts four times over, with keys of their own."""
+    d = tmp_path_factory.mktemp("larger")
+    for f in os.listdir(SF):
+        if f not in ("orders.parquet", "lineitem.parquet", "part.parquet"):
+            (d / f).symlink_to(f"{SF}/{f}")
+    for t, keys in (("orders", ["o_orderkey"]), ("lineitem", ["l_orderkey", "l_partkey"]), ("part", ["p_partkey"])):
+        df = spark.read.parquet(f"{SF}/{t}.parquet")
+        out = reduce(DataFrame.union, [df.withColumns({k: F.col(k) + i * 1_000_000 for k in keys}) for i in range(4)])
+        out.write.parquet(str(d / f"{t}.parquet"))
+    return str(d)
+
+
+def pieces(spark, name, sf, exchange):
+    found = re.findall(exchange + r", (\d+)\), REPARTITION_BY_NUM", plan(QUERIES[name](spark, sf)))
+    return [int(n) for n in found]
+
+
+@pytest.mark.parametrize(("name", "exchange", "times"), [("p28_set_comparison", r"hashpartitioning\(src#\w+, value#\w+", 2)])
+def test_pieces_grow_with_the_input(spark, larger, monkeypatch, name, exchange, times):
+    monkeypatch.setattr(Engine, "PIECE", 16 << 10)
+    few, many = pieces(spark, name, SF, exchange), pieces(spark, name, larger, exchange)
+    assert len(few) == len(many) == times
+    assert all(n > 1 and m > 2 * n for n, m in zip(few, many, strict=True))
+    con = duckdb.connect()
+    for t in ("orders", "lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{larger}/{t}.parquet/*.parquet')")
+    want = con.execute(ORACLE_SQL[name])
+    got = QUERIES[name](spark, larger).select([d[0] for d in want.description]).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_rows_of_few_objects_are_merged_before_they_travel(spark, monkeypatch):
+    monkeypatch.setattr(Engine, "PIECE", 1 << 10)
+    e = star.engine(spark, SF)
+    nation, order = e.table("Nation"), e.table("Order")
+    assert "REPARTITION_BY_NUM" not in plan(e.aggregate("Nation", "*", "Customers.Orders.Items.l_returnflag"))
+    assert "REPARTITION_BY_NUM" not in plan(e.select("Nation", "EQUALS(Customers.Orders.Items.l_returnflag, Customers.Orders.Items.l_linestatus)"))
+    rows = e.frame(e.table("LineItem")).select("l_orderkey")
+    assert e.scattered(rows, nation, "l_orderkey") is rows
+    unsized = spark.createDataFrame(rows.rdd)
+    assert e.scattered(unsized, order, "l_orderkey") is unsized

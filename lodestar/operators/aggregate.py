@@ -194,7 +194,7 @@ class Aggregates:
                 parts, idents, many = [p.withColumn("__src", F.col("__src").cast("string")) for p in parts], [F.col("_ID")], True
             rows = reduce(DataFrame.union, parts)
             if many:
-                rows = rows.distinct()
+                rows = engine.scattered(rows, table, "__src").distinct()
             if len(part) == 1:  # null keys stand for objects without keys only
                 rows = rows.where(F.col(names[part[0]]).isNotNull())
             several = several or many

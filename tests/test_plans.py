@@ -79,7 +79,7 @@ def pieces(spark, name, sf, exchange):
     return [int(n) for n in found]
 
 
-@pytest.mark.parametrize(("name", "exchange", "times"), [("p28_set_comparison", r"hashpartitioning\(src#\w+, value#\w+", 2)])
+@pytest.mark.parametrize(("name", "exchange", "times"), [("p28_set_comparison", r"hashpartitioning\(src#\w+, value#\w+", 2), ("g10_correlated", r"hashpartitioning\(__src#\w+", 1), ("g09_upper_level", r"hashpartitioning\(__src#\w+", 1), ("g07_path_where", r"hashpartitioning\(__src#\w+", 1)])
 def test_pieces_grow_with_the_input(spark, larger, monkeypatch, name, exchange, times):
     monkeypatch.setattr(Engine, "PIECE", 16 << 10)
     few, many = pieces(spark, name, SF, exchange), pieces(spark, name, larger, exchange)

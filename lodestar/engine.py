@@ -27,8 +27,8 @@ class Engine:
     """
 
     DEFAULT_SIZE = 100
-    #: Bytes of the files read for a piece of scattered rows, and for one if there are fewer pieces than cores; times the objects' bytes up to which rows are scattered as they are.
-    PIECE, SMALL, FEW = 8 << 20, 1 << 20, 32
+    #: Bytes of the files read for a piece of scattered rows, for one if there are fewer pieces than cores, and for one where they are many; times the objects' bytes up to which rows are scattered as they are.
+    PIECE, SMALL, LARGE, FEW = 8 << 20, 1 << 20, 32 << 20, 32
 
     def __init__(self, spark: SparkSession, app: Application, tables: dict[str, DataFrame], links: dict[tuple[str, str], DataFrame | str] | None = None, clock: datetime | None = None, keys: dict[str, str] | None = None):
         self.spark, self.app, self.tables, self.clock, self.keys = spark, app, copy(tables), clock, dict(keys or {})
@@ -185,8 +185,10 @@ class Engine:
         size, own = read_bytes(rows), read_bytes(self.frame(table))
         if not size or size > self.FEW * own:
             return rows
-        cores = self.spark.sparkContext.defaultParallelism
-        return rows.repartition(max(-(-size // self.PIECE), min(cores, -(-size // self.SMALL))), *keys)
+        context = self.spark.sparkContext
+        least = min(context.defaultParallelism, -(-size // self.SMALL))
+        open_files = int(context.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))  # with more pieces, a task that deals rows out holds them to sort
+        return rows.repartition(max(min(-(-size // self.PIECE), open_files), -(-size // self.LARGE), least), *keys)
 
     def looks_up(self, table: Table, steps: tuple) -> bool:
         """Whether a path leads over foreign keys that each object holds itself, so to one object at most."""

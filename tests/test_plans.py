@@ -103,3 +103,11 @@ def test_rows_of_few_objects_are_merged_before_they_travel(spark, monkeypatch):
     assert e.scattered(rows, nation, "l_orderkey") is rows
     unsized = spark.createDataFrame(rows.rdd)
     assert e.scattered(unsized, order, "l_orderkey") is unsized
+
+
+def test_pieces_are_few_enough_to_be_written_unsorted(spark, monkeypatch):
+    exchange = r"hashpartitioning\(__src#\w+"
+    monkeypatch.setattr(Engine, "PIECE", 64)
+    assert pieces(spark, "g10_correlated", SF, exchange) == [200]
+    monkeypatch.setattr(Engine, "LARGE", 256)
+    assert pieces(spark, "g10_correlated", SF, exchange)[0] > 200
